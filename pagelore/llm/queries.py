@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm import site_lines, unify
+from pagelore.llm import residue, site_lines, unify
 from pagelore.session import table
 
 
@@ -41,6 +41,14 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.without_repeated(blocks, "site", "page_id", "block_key", "text").select("block_key", "clean_text")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "captures", "capture_id", "page_id", "source_url", "visible_text").toDF("key", "page", "url", "text")
+    blocks = table(spark, d, "snapshot_blocks", "block_key", "page_id", "source_url", "text").toDF("key", "page", "url", "text")
+    states = table(spark, d, "search_profile_state", "state_id", "last_challenge_at")
+    bad = states.where(residue.not_a_time(F.col("last_challenge_at"))).select(F.lit("last_challenge_at"), "state_id").distinct()
+    return residue.find_residue(pages, blocks).union(bad)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
 
