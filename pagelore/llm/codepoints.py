@@ -7,10 +7,12 @@ decoded and encoded once per batch, never per row.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # --- fixed values: characters drawn like an ASCII letter or hyphen, by script -------------------------------------
 LOOKALIKES = {
@@ -43,6 +45,8 @@ OWN_READING = {"<super>", "<sub>", "<circle>", "<fraction>"}
 # --- end of fixed values ------------------------------------------------------------------------------------------
 
 SPACE = 0x20
+#: Bytes of text whose code points are worked on at once.
+PIECE_BYTES = 1 << 20
 N_CODES = 0x110000
 #: Planes that hold anything with a decomposition, a case pair or a special category; other code points stand for themselves.
 _RANGES = (range(0x20000), range(0x2F800, 0x2FA20), range(0xE0000, 0xE0200))
@@ -254,6 +258,19 @@ def squeeze(cp: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cp, offs
 
 
+def pieces(batches: Iterator[pa.RecordBatch], most_bytes: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in slices of about `most_bytes` of the last column, at least one row each, so that the arrays
+    over code points stay small whatever the texts' lengths."""
+    for b in batches:
+        size = np.cumsum(pc.binary_length(b.column(b.num_columns - 1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            done = size[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(size, done + most_bytes, side="right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def decode(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Code points and row offsets of a string column; nulls count as empty."""
     if isinstance(arr, pa.ChunkedArray):

@@ -18,6 +18,8 @@ from pagelore.llm import codepoints as C
 
 OWN = "\x01"
 BRAND = "\x04"
+#: The marks as words, for templates made of words.
+OWN_WORD, BRAND_WORD = "ownsubject", "ownsite"
 SLOT = "\x02"
 MIN_SUBJECT = 4
 #: Lines whose looks are remembered in one task.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm import residue, site_lines, unify
+from pagelore.llm import mainbody, residue, site_lines, unify
 from pagelore.session import table
 
 
@@ -49,6 +49,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.find_residue(pages, blocks).union(bad)
 
 
+def page_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "snapshot_blocks", "block_key", "capture_id", "site", "page_id", "block_kind", "block_zone", "source_url", "text").toDF("key", "capture", "site", "page", "kind", "zone", "url", "text")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return mainbody.boilerplate(page_blocks(spark, d)).select(F.col("key").alias("block_key"))
+
+
+def p6_main(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks of the main body of each capture, in page order."""
+    blocks = table(spark, d, "snapshot_blocks", "block_key", "capture_id", "ord", "text").dropDuplicates(["block_key"])
+    return blocks.where("trim(text) <> ''").join(p6_found(spark, d), "block_key", "left_anti").select("capture_id", "ord", "block_key", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
 

@@ -28,7 +28,7 @@ def line_keys(df: DataFrame, site: str, page: str, key: str, text: str) -> DataF
     src = df.select(F.col(site).alias("site"), F.col(page).alias("page"), F.col(key).alias("key"), F.col(text).alias("t")).where("t is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in C.pieces(batches):
             cp, offs = C.decode(b.column(3))
             at, row, no = C.lines(cp, offs)
             lcp, loffs = C.letters_lut()(*C.compose(*C.reading_lut()(cp, at)))

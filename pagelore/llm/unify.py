@@ -33,7 +33,7 @@ def reading_keys(df: DataFrame, text: str, *keep: str) -> DataFrame:
     fields = src.schema.fields[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in C.pieces(batches):
             cp, offs = C.decode(b.column(b.num_columns - 1))
             rcp, roffs = C.reading(cp, offs)
             hashes = [C.row_hash(rcp, roffs, 0), C.row_hash(rcp, roffs, 7), C.row_hash(cp, offs, 3)]
