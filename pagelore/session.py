@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +27,21 @@ def build_session(app: str = "pagelore", cpus: str = "8", shuffle_partitions: in
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        root = Path(__file__).resolve().parents[1]
+        sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='pagelore-')}/pagelore", "zip", root, "pagelore"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One parquet table of a data directory, pruned to `columns` if any are given."""
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -60,9 +75,3 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     df.write.parquet(path, partitionBy=list(partition_by) or None)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def input_partitions(df: DataFrame) -> DataFrame:
-    """Spread rows that arrive in fewer splits than the session has cores, so that Python work uses all of them."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
