@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm import mainbody, residue, site_lines, unify
+from pagelore.llm import mainbody, mixing, packing, residue, site_lines, unify
+from pagelore.llm.tokens import token_count
 from pagelore.session import table
 
 
@@ -63,6 +64,33 @@ def p6_main(spark: SparkSession, d: str) -> DataFrame:
     return blocks.where("trim(text) <> ''").join(p6_found(spark, d), "block_key", "left_anti").select("capture_id", "ord", "block_key", "text")
 
 
+def p7_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Every text in a window of each token budget."""
+    docs = table(spark, d, "documents", "doc_id", "text").select("doc_id", token_count("text").alias("tokens"))
+    return packing.fill_windows(docs, "doc_id", "tokens", table(spark, d, "pack_budgets"), "budget_name", "capacity_tokens")
+
+
+def p7_room(spark: SparkSession, d: str) -> DataFrame:
+    """How full the windows of each budget are."""
+    w = p7_windows(spark, d).where("window is not null").groupBy("budget", "capacity", "window").agg(F.sum("tokens").alias("tokens"))
+    n = w.groupBy("budget", "capacity").agg(F.count("*").alias("windows"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"))
+    return n.withColumn("fill", F.col("tokens") / (F.col("windows") * F.col("capacity")))
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents", "doc_id", "source", "text").select("doc_id", "source", token_count("text").alias("tokens"))
+    return mixing.mix(docs, "doc_id", "source", "tokens", table(spark, d, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen texts and how often each is used."""
+    return _mix(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
 
