@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm import mainbody, mixing, packing, residue, site_lines, unify
+from pagelore.llm import mainbody, mixing, packing, residue, site_lines, toxicity, unify
 from pagelore.llm.tokens import token_count
 from pagelore.session import table
 
@@ -91,6 +91,21 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Of every document the probability of its worst passage, by category, and whether it is flagged."""
+    docs = table(spark, d, "documents")
+    chain = toxicity.fit_chain(*toxicity.labelled(docs, "doc_id", "text", table(spark, d, "review_labels"), "doc_id", "label", "reviewer"))
+    return toxicity.score(docs, "doc_id", "text", chain, "source")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_scores(spark, d).where("flagged").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.rates(p9_scores(spark, d), "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
 
