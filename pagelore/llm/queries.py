@@ -94,7 +94,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     """Of every document the probability of its worst passage, by category, and whether it is flagged."""
     docs = table(spark, d, "documents")
-    chain = toxicity.fit_chain(*toxicity.labelled(docs, "doc_id", "text", table(spark, d, "review_labels"), "doc_id", "label", "reviewer"))
+    chain = toxicity.fitted(toxicity.labelled(docs, "doc_id", "text", table(spark, d, "review_labels"), "doc_id", "label", "reviewer"))
     return toxicity.score(docs, "doc_id", "text", chain, "source")
 
 

@@ -9,11 +9,13 @@ links before it give the same window, and is trained with out-of-fold odds.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -349,16 +351,27 @@ def fit_chain(texts: list[str], votes: np.ndarray) -> Chain:
     return Chain(models, np.array(cuts), known)
 
 
-def labelled(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str, reviewer: str, most: int = MAX_LABELLED) -> tuple[list[str], np.ndarray]:
-    """Texts and votes of the labelled documents, at most `most`. Labels of any case; null and unknown labels do not vote; a
+def labelled(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str, reviewer: str, most: int = MAX_LABELLED) -> DataFrame:
+    """Text and counted votes of the labelled documents, at most `most`. Labels of any case; null and unknown labels do not vote; a
     label delivered twice votes once."""
     v = labels.select(F.col(label_key).alias("k"), F.lower(F.trim(label)).alias("l"), F.col(reviewer).alias("r")).where(F.col("l").isin("ok", *CHAIN[1:])).distinct()
     v = v.groupBy("k").agg(F.count("*").alias("n"), *[F.count_if(F.col("l") == c).alias(c) for c in CHAIN[1:]])
-    v = v.orderBy(F.xxhash64("k"), "k").limit(most)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").dropDuplicates(["k"]).join(v, "k").orderBy("k").toPandas()
-    votes = rows[list(CHAIN[1:])].to_numpy(float) / np.maximum(rows["n"].to_numpy(float), 1)[:, None] if len(rows) else np.zeros((0, 3))
-    texts = plain(pa.array(rows["t"].tolist(), pa.string())) if len(rows) else []
-    return texts, np.concatenate([votes.sum(1, keepdims=True), votes], 1)
+    v = v.where("k is not null").orderBy(F.xxhash64("k"), "k").limit(most)
+    # at most `most` rows of votes are sent to the texts, not the texts to the votes
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(v), "k").dropDuplicates(["k"])
+
+
+def fitted(rows: DataFrame) -> Chain:
+    """The chain of the labelled documents `rows`, at most MAX_LABELLED of them, fitted in one task; only the models reach the driver."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        votes = pdf[list(CHAIN[1:])].to_numpy(float) / pdf["n"].to_numpy(float)[:, None]
+        chain = fit_chain(plain(pa.array(pdf["t"].tolist(), pa.string())), np.concatenate([votes.sum(1, keepdims=True), votes], 1))
+        return pd.DataFrame({"chain": [pickle.dumps(chain)]})
+
+    row = rows.groupBy(F.lit(0)).applyInPandas(run, "chain binary").first()
+    return pickle.loads(bytes(row.chain)) if row else fit_chain([], np.zeros((0, len(CHAIN))))
 
 
 def score(docs: DataFrame, key: str, text: str, chain: Chain, *keep: str) -> DataFrame:

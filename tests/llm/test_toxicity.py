@@ -61,12 +61,12 @@ def test_score_and_rates(spark):
     docs = [(i, t, "s%d" % (i % 2), 1.0) for i, t, _ in rows] + [(900, None, None, 0.0), (901, "", "s1", 0.0), (902, "word " * 50_000, "s1", 0.0), (903, "!!! ???", "s1", 0.0)]
     d = spark.createDataFrame(docs, "doc long, text string, source string, abusive double").drop("abusive")
     v = spark.createDataFrame(labels + labels[:50], "doc long, label string, reviewer string, text string")
-    ch = T.fit_chain(*T.labelled(d, "doc", "text", v, "doc", "label", "reviewer"))
+    ch = T.fitted(T.labelled(d, "doc", "text", v, "doc", "label", "reviewer"))
     got = {r.doc: r for r in T.score(d, "doc", "text", ch, "source").collect()}
     assert len(got) == len(docs) and not any(got[k].flagged for k in (900, 901, 902, 903)) and got[900].unacceptable == 0
     assert np.mean([got[i].flagged == (k is not None) for i, _, k in rows[400:]]) > 0.95
     r = {x.source: x for x in T.rates(T.score(d, "doc", "text", ch, "source"), "source").collect()}
     assert r["s0"].documents == 250 and r["s0"].flagged_rate == np.mean([got[i].flagged for i, *_ in rows if i % 2 == 0])
-    none = T.fit_chain(*T.labelled(d, "doc", "text", v.limit(0), "doc", "label", "reviewer"))
+    none = T.fitted(T.labelled(d, "doc", "text", v.limit(0), "doc", "label", "reviewer"))
     assert T.score(d, "doc", "text", none).where("flagged").count() == 0
     assert T.score(d.limit(0), "doc", "text", ch).count() == 0
