@@ -370,7 +370,7 @@ def fitted(rows: DataFrame) -> Chain:
         chain = fit_chain(plain(pa.array(pdf["t"].tolist(), pa.string())), np.concatenate([votes.sum(1, keepdims=True), votes], 1))
         return pd.DataFrame({"chain": [pickle.dumps(chain)]})
 
-    row = rows.groupBy(F.lit(0)).applyInPandas(run, "chain binary").first()
+    row = rows.groupBy(F.lit("all").alias("g")).applyInPandas(run, "chain binary").first()
     return pickle.loads(bytes(row.chain)) if row else fit_chain([], np.zeros((0, len(CHAIN))))
 
 
