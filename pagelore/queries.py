@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelore.operators import nested, reports, snapshots
+from pagelore.plans import text_queries
 from pagelore.session import table
 
+AREAS = [text_queries]
+
 REF_INDEX = dict(entity="page_id", snapshot="snapshot_id", taken="taken_at", ref="stable_ref", ingested="ingested_at", compare=["block_kind", "block_role", "text"])
 
 
@@ -39,7 +42,10 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_levels": p4_levels}
+    out = {"p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_levels": p4_levels}
+    for area in AREAS:
+        out |= area.queries()
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
@@ -61,8 +67,11 @@ def oracle_sql() -> dict[str, str]:
           LEFT JOIN cur a ON a.page_id = s.page_id AND a.seq = s.seq AND a.stable_ref = k.stable_ref
           LEFT JOIN cur b ON b.page_id = s.page_id AND b.seq = s.seq - 1 AND b.stable_ref = k.stable_ref
           WHERE s.seq > 1"""
-    return {
+    out = {
         "p3_found": f"{held} SELECT * FROM ({pairs}) z WHERE change_kind <> 'retained'",
         "p3_counts": f"""{held} SELECT page_id, snapshot_id, count(*) FILTER (change_kind = 'added') AS added, count(*) FILTER (change_kind = 'removed') AS removed,
             count(*) FILTER (change_kind = 'changed') AS changed, count(*) FILTER (change_kind = 'retained') AS retained FROM ({pairs}) z GROUP BY 1, 2""",
     }
+    for area in AREAS:
+        out |= area.oracle_sql()
+    return out
