@@ -105,14 +105,27 @@ def glosses(text: Column) -> Column:
 
 def tokens_match(a: Column, b: Column) -> Column:
     """ASCII: equal, or one of at least four characters begins the other; else: equal or one holds the other."""
-    ascii_ = ~(a.rlike("[^\\x00-\\x7f]") | b.rlike("[^\\x00-\\x7f]"))
+    ascii_ = (F.octet_length(a) == F.length(a)) & (F.octet_length(b) == F.length(b))
     prefix = ((F.length(a) >= 4) & b.startswith(a)) | ((F.length(b) >= 4) & a.startswith(b))
     return (a == b) | F.when(ascii_, prefix).otherwise(a.contains(b) | b.contains(a))
 
 
-def matched(claim: Column, block: Column) -> Column:
+def heads(tokens: Column) -> Column:
+    """The first four characters of tokens, once each: ASCII tokens can only match if these are the same."""
+    return F.array_distinct(F.transform(tokens, lambda t: F.left(t, F.lit(4))))
+
+
+def matches_any(token: Column, others: Column, other_heads: Column) -> Column:
+    """Some of the others matches; they are only looked through if a head is the same or the token is not ASCII."""
+    maybe = F.array_contains(other_heads, F.left(token, F.lit(4))) | (F.octet_length(token) != F.length(token))
+    return F.when(maybe, F.exists(others, lambda b: tokens_match(token, b))).otherwise(F.lit(False))
+
+
+def matched(claim: Column, block: Column, block_heads: Column | None = None) -> Column:
     """The claim's tokens that some token of the block matches."""
-    return F.filter(claim, lambda c: F.exists(block, lambda b: tokens_match(c, b)))
+    if block_heads is None:
+        return F.filter(claim, lambda c: F.exists(block, lambda b: tokens_match(c, b)))
+    return F.filter(claim, lambda c: matches_any(c, block, block_heads))
 
 
 def overlap_ratio(claim: Column, block: Column) -> Column:
