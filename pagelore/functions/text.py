@@ -47,11 +47,15 @@ def stem(token: Column) -> Column:
     out = token
     for s in reversed(L.STEM_SUFFIXES):
         out = F.when(token.endswith(s) & (F.length(token) > len(s) + 2), F.substring(token, F.lit(1), F.length(token) - len(s))).otherwise(out)
-    return F.when(token.rlike("[^\\x00-\\x7f]"), token).otherwise(out)
+    return F.when(~is_ascii(token), token).otherwise(out)
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
 
 
 def is_cjk(text: Column) -> Column:
-    return text.rlike(f"[{L.CJK}]")
+    return ~is_ascii(text) & text.rlike(f"[{L.CJK}]")
 
 
 def ngrams(token: Column, n: int) -> Column:
@@ -65,7 +69,7 @@ def expand(token: Column) -> Column:
 
 
 def is_significant(t: Column) -> Column:
-    return t.rlike("^[0-9]+$") | F.when(is_cjk(t), F.length(t) >= 2).otherwise((F.length(t) >= 3) & ~t.isin(L.STOP_WORDS))
+    return F.when(is_ascii(t), ((F.length(t) >= 3) & ~t.isin(L.STOP_WORDS)) | t.rlike("^[0-9]+$")).when(is_cjk(t), F.length(t) >= 2).otherwise((F.octet_length(t) >= 3) & ~t.isin(L.STOP_WORDS))
 
 
 def all_tokens(text: Column) -> Column:
@@ -75,11 +79,19 @@ def all_tokens(text: Column) -> Column:
 
 def significant_tokens(text: Column) -> Column:
     """Stems and grams that carry meaning, sorted, once each."""
-    return F.array_sort(F.array_distinct(F.filter(all_tokens(text), is_significant)))
+    return significant_of(all_tokens(text))
+
+
+def significant_of(tokens: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.filter(tokens, is_significant)))
 
 
 def numeric_tokens(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(split_words(normalize(text)), lambda t: t.rlike("^[0-9]+$"))))
+    return numeric_of(split_words(normalize(text)))
+
+
+def numeric_of(words: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.filter(words, lambda t: t.rlike("^[0-9]+$"))))
 
 
 def anchor_tokens(tokens: Column) -> Column:
@@ -203,7 +215,11 @@ def month_of(token: Column) -> Column:
 
 
 def duration_units(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.array_compact(F.transform(significant_tokens(text), unit_of))))
+    return units_of(significant_tokens(text))
+
+
+def units_of(tokens: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(tokens, unit_of))))
 
 
 def snippet(text: Column, most: int = 220) -> Column:

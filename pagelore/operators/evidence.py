@@ -71,18 +71,20 @@ def prepare_blocks(blocks: DataFrame) -> DataFrame:
 def candidates(prepared: DataFrame) -> DataFrame:
     """The passages of every block: segments of narrative kinds, the whole text of others; never none."""
     whole = F.array(T.trim_all(F.col("text")))
-    seg = F.when(F.col("kind").isin(*NARRATIVE), T.segments(F.col("text"))).otherwise(whole)
-    c = prepared.withColumn("seg", F.when(F.size(seg) == 0, whole).otherwise(seg)).select("*", F.posexplode("seg").alias("seg_no", "passage")).drop("seg")
+    seg = T.let(F.when(F.col("kind").isin(*NARRATIVE), T.segments(F.col("text"))).otherwise(whole), lambda s: F.when(F.size(s) == 0, whole).otherwise(s))
+    c = prepared.select("*", F.posexplode(seg).alias("seg_no", "passage"))
     header = T.trim_all(F.substring_index("text", "\n", 1))
     header = F.when(F.col("kind").isin("table", "list") & (header != "") & (header != F.col("passage")), header)
     c = c.withColumn("passage_search", joined(F.col("passage"), header, F.col("terms")))
     # what scoring needs of a passage, once a passage and not once a claim
-    words = T.split_words(T.normalize(F.col("passage_search")))
-    says = qualifier_profile(None, F.col("passage_search"))
-    return c.withColumns({
-        "seg_tokens": T.significant_tokens(F.col("passage_search")), "seg_all": T.all_tokens(F.col("passage_search")), "seg_numbers": T.numeric_tokens(F.col("passage_search")),
-        "seg_timed": F.size(T.duration_units(F.col("passage_search"))) > 0, "seg_release": F.exists(words, released), "seg_default": says[0], "seg_maximum": says[1], "seg_minimum": says[2],
-    }).withColumn("wide_tokens", F.array_distinct(F.concat("seg_tokens", "around"))).withColumns({"seg_heads": T.heads(F.col("seg_tokens")), "wide_heads": T.heads(F.col("wide_tokens"))})
+    c = c.withColumn("seg_norm", T.normalize(F.col("passage_search"))).withColumn("seg_words", T.split_words(F.col("seg_norm")))
+    c = c.withColumn("seg_all", F.flatten(F.transform("seg_words", T.expand))).withColumn("seg_tokens", T.significant_of(F.col("seg_all")))
+    says = qualifier_profile(None, F.col("seg_norm"))
+    c = c.withColumns({
+        "seg_numbers": T.numeric_of(F.col("seg_words")), "seg_timed": F.exists("seg_tokens", lambda t: T.unit_of(t).isNotNull()), "seg_release": F.exists("seg_words", released),
+        "seg_default": says[0], "seg_maximum": says[1], "seg_minimum": says[2], "wide_tokens": F.array_distinct(F.concat("seg_tokens", "around")),
+    })
+    return c.withColumns({"seg_heads": T.heads(F.col("seg_tokens")), "wide_heads": T.heads(F.col("wide_tokens"))}).drop("seg_norm", "seg_words")
 
 
 def released(token: Column) -> Column:
@@ -121,10 +123,10 @@ def exact_bonus(sequence: Column, tokens: Column) -> Column:
     return F.when(T.contains_sequence(tokens, sequence), 1.0).when((F.size(sequence) > 0) & (F.size(F.array_except(sequence, tokens)) == 0), 0.70).otherwise(0.0)
 
 
-def qualifier_profile(tokens: Column | None, text: Column | None) -> list[Column]:
+def qualifier_profile(tokens: Column | None, n: Column | None) -> list[Column]:
+    """Whether the tokens of a claim, or a normalized passage, speak of a default, a maximum, a minimum."""
     if tokens is not None:
         return [F.array_contains(tokens, "default"), F.arrays_overlap(tokens, T.words("maximum", "max")), F.arrays_overlap(tokens, T.words("minimum", "min"))]
-    n = T.normalize(text)
     return [n.contains(" default "), n.rlike(" (?:maximum|max|up to|at most) "), n.rlike(" (?:minimum|min|at least) ")]
 
 

@@ -38,7 +38,8 @@ def p4_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return p3_found(spark, d)
+    """For every claim asked on a captured page: the verdict, its support and its confidence."""
+    return evidence_queries.e32_verdicts(spark, d)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
