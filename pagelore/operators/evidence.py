@@ -49,7 +49,7 @@ def prepare_blocks(blocks: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     href, options = F.get_json_object("attributes", "$.href"), F.get_json_object("attributes", "$.selectionSemantic")
-    b = blocks.withColumns({"text": text, "terms": joined(attribute_terms(F.col("attributes")), kind_terms(F.col("kind"), text, href, options)), "options": options, "level": F.get_json_object("attributes", "$.level").cast("int")})
+    b = blocks.select("page", "ord", "kind", "role", "ref", "text", "attributes").withColumns({"text": text, "terms": joined(attribute_terms(F.col("attributes")), kind_terms(F.col("kind"), text, href, options)), "options": options, "level": F.get_json_object("attributes", "$.level").cast("int")})
     b = b.withColumns({"search": joined(F.col("text"), F.col("terms")), "region": F.substring_index("ref", ":", 1)})
     n = F.length(T.trim_all(F.col("text")))
     near = F.when(F.col("kind").isin("text", "list", "table"), n >= 16).when(F.col("kind") == "metadata", n >= 24).when(F.col("kind") == "link", F.col("role").isin("content", "supporting") & (n >= 20)).otherwise(F.lit(False))
@@ -93,7 +93,7 @@ def released(token: Column) -> Column:
 
 def prepare_claims(claims: DataFrame) -> DataFrame:
     """Claims (page, claim, statement) with their token sets. Blank and null statements are left out."""
-    c = claims.where(F.length(T.trim_all(F.col("statement"))) > 0).withColumns({"normalized": T.normalize(F.col("statement")), "claim_tokens": T.significant_tokens(F.col("statement"))})
+    c = claims.select("page", "claim", "statement").where(F.length(T.trim_all(F.col("statement"))) > 0).withColumns({"normalized": T.normalize(F.col("statement")), "claim_tokens": T.significant_tokens(F.col("statement"))})
     return c.withColumns({
         "sequence": T.all_tokens(F.col("statement")), "words": T.split_words(F.col("normalized")), "numbers": T.numeric_tokens(F.col("statement")),
         "qualifiers": T.qualifier_tokens(F.col("statement")), "anchors": T.anchor_tokens(F.col("claim_tokens")), "units": T.duration_units(F.col("statement")),
@@ -284,10 +284,13 @@ def verdicts(claims: DataFrame, blocks: DataFrame) -> DataFrame:
         F.max(F.when(F.size("numbers") > 0, F.col("numeric"))).alias("numeric"), F.array_distinct(F.flatten(F.collect_list("seg_tokens"))).alias("tokens"),
         F.count_distinct(F.when(F.col("kind").isin(*NARRATIVE) & (F.length("text") >= 12) | (F.col("kind") == "heading") & (F.length("text") >= 8), F.col("ord"))).alias("narrative"),
     )
-    x = base.join(best, ["page", "claim"], "left").join(sup, ["page", "claim"], "left")
+    other = r.where(F.col("contradictory") & (F.col("score") >= 0.05)).withColumn("nth", F.row_number().over(W.partitionBy("page", "claim").orderBy("rank"))).where("nth <= 3")
+    other = other.groupBy("page", "claim").agg(F.array_distinct(F.flatten(F.collect_list("seg_tokens"))).alias("other_tokens"))
+    x = base.join(best, ["page", "claim"], "left").join(sup, ["page", "claim"], "left").join(other, ["page", "claim"], "left")
     n = F.size("anchors")
     need = F.when(n == 0, 0.0).when(n <= 2, 1.0).when(n == 3, 2 / 3).otherwise(0.6)
-    thin = (n > 0) & (F.size(T.matched(F.col("anchors"), F.coalesce("tokens", F.array().cast("array<string>")))) / F.greatest(n, F.lit(1)) + 0.001 < need)
+    lacks = lambda tokens: (n > 0) & (F.size(T.matched(F.col("anchors"), F.coalesce(tokens, F.array().cast("array<string>")))) / F.greatest(n, F.lit(1)) + 0.001 < need)
+    thin, thin_against = lacks("tokens"), lacks("other_tokens")
     strong = F.coalesce("numeric", F.lit(0.0)) >= 0.99
     bar = F.when(thin, 0.52).when((F.col("n_support") < 2) & strong, 0.40).when((F.col("n_support") >= 2) & (F.col("narrative") >= 2), 0.46).otherwise(0.52)
     b, a = F.coalesce("best", F.lit(0.0)), F.coalesce("against", F.lit(0.0))
@@ -296,12 +299,14 @@ def verdicts(claims: DataFrame, blocks: DataFrame) -> DataFrame:
     as_ = lambda v, r: F.struct((F.lit(v) if isinstance(v, str) else v).alias("v"), (F.lit(r) if r is None or isinstance(r, str) else r).cast("string").alias("r"))
     none = lambda reason: as_(F.when(F.col("any_against"), "contradicted").otherwise("insufficient-evidence"), F.when(F.col("any_against"), "contradictory-evidence").otherwise(reason))
     more = as_("needs-more-browsing", "needs-more-browsing")
+    # what speaks against the claim only counts if it speaks of the same things
+    turned = F.when(thin_against, more).otherwise(as_("contradicted", "negation-mismatch"))
     out = (
         F.when(T.low_signal(F.col("statement"), F.col("words")), as_("insufficient-evidence", "insufficient-support-score"))
-        .when((F.col("best").isNull() & (a > 0)) | (a >= b + 0.02), as_("contradicted", "negation-mismatch"))
+        .when((F.col("best").isNull() & (a > 0)) | (a >= b + 0.02), turned)
         .when(F.col("best").isNull(), none("no-supporting-block"))
         .when(F.col("support").isNull(), none("insufficient-support-score"))
-        .when(thin & (a > 0), more)
+        .when(thin & (a > 0), turned)
         .when((b >= bar) & ~thin & weak, more)
         .when((b >= bar) & ~thin, as_("evidence-supported", None))
         .when((b >= 0.30) & (thin | (F.size("numbers") > 0)), more)

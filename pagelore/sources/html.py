@@ -144,12 +144,14 @@ class Page:
         self.ids = {n.attrs["id"]: n for n in reversed(self.nodes) if "id" in n.attrs}
 
     def visible(self, n: Node) -> str:
+        if n.hides:
+            return ""
         out, stack = [], [iter(n.kids)]
         while stack:
             for k in stack[-1]:
                 if isinstance(k, str):
                     out.append(k)
-                elif not k.hides or n.hides:
+                elif not k.hides:
                     stack.append(iter(k.kids))
                     break
             else:
