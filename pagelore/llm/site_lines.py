@@ -92,7 +92,7 @@ def repeated_lines(lines: DataFrame, min_pages: int = MIN_PAGES, capacity: int =
     cand, loose = candidates(lines, min_pages, capacity)
     some = lines.join(cand, ["site", "h1"], "left_semi")
     if not loose.isEmpty():
-        some = some.union(lines.join(loose, "site", "left_semi"))
+        some = some.unionByName(lines.join(loose, "site", "left_semi"))
     pages = some.select("site", "h1", "h2", "page").distinct()
     return pages.groupBy("site", "h1", "h2").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
 
