@@ -71,7 +71,8 @@ def elements(blocks: DataFrame) -> DataFrame:
                     fact = facts.get(x.bare)
                     if fact is None:
                         w = R.worded(x)
-                        toks = P._LETTERS.findall(P._DIGITS.sub(" ", x.bare).replace(P.OWN, f" {P.OWN_WORD} ").replace(P.BRAND, f" {P.BRAND_WORD} "))
+                        # longer lines have more words than a teaser, whatever they are
+                        toks = P._LETTERS.findall(x.bare.replace(P.OWN, f" {P.OWN_WORD} ").replace(P.BRAND, f" {P.BRAND_WORD} ")) if len(x.bare) < 20 * TEASER_WORDS else ()
                         if len(facts) > P.MEMO:
                             facts.clear()
                         fact = (w or (bool(x.slots) and not x.own), w and bool(_SCRIPT.search(x.bare)), toks if len(toks) <= TEASER_WORDS else ())
@@ -136,14 +137,15 @@ def boilerplate(blocks: DataFrame, min_pages: int = MIN_PAGES, min_sites: int =
     t = cut(elements(blocks))
     own, _ = _marks()
     names = cut(subjects(blocks))
-    content = t.where(F.col("cls").isin(BODY, SENTENCE)).select("capture").distinct().withColumn("content", F.lit(True))
-    plain = cut(t.where(F.col("cls") == PLAIN).join(content, "capture", "left").withColumn("content", F.coalesce("content", F.lit(False))))
+    content = cut(t.where(F.col("cls").isin(BODY, SENTENCE)).select("capture").distinct())
+    plain = t.where(F.col("cls") == PLAIN)
     # elements per host, then over hosts
-    per_site = plain.where("content").select("site", "h", "page").distinct().groupBy("site", "h").agg(F.count("*").alias("pages"))
+    per_site = plain.select("capture", "site", "h", "page").join(content, "capture", "left_semi").select("site", "h", "page").distinct().groupBy("site", "h").agg(F.count("*").alias("pages"))
     per_site = cut(per_site)
     here = per_site.where(F.col("pages") >= min_pages).select("site", "h", F.lit(True).alias("here"))
     wide = per_site.groupBy("h").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites).select("h", F.lit(True).alias("wide"))
-    plain = cut(plain.join(here, ["site", "h"], "left").join(wide, "h", "left").withColumn("recurs", F.coalesce("here", "wide", F.lit(False))).drop("here", "wide"))
+    plain = plain.join(content.withColumn("content", F.lit(True)), "capture", "left").join(here, ["site", "h"], "left").join(wide, "h", "left")
+    plain = cut(plain.withColumns({"content": F.coalesce("content", F.lit(False)), "recurs": F.coalesce("here", "wide", F.lit(False))}).drop("here", "wide"))
     # other pages' names: in each line that recurrence does not settle, and once in each element that it does
     w1 = F.lit(1).cast("long").alias("w")
     open_ = plain.where("not recurs").select("key", "line_no", "cls", "toks", w1).union(t.where(F.col("cls") == NAMED).select("key", "line_no", "cls", "toks", w1))

@@ -41,7 +41,7 @@ _LABEL_AFTER = re.compile(rf"\s*(?:[-–—]\s*{OWN}|\[(?:ref )?/?{OWN}\]|\((?:r
 _LETTERS = re.compile(r"[^\W\d_]+")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _CRUMBS = re.compile(r"^[^.!?]{1,60}(?:\s[>›»]\s[^.!?>›»]{1,60})+$")
-_SENTENCE = re.compile(r"(?<!\.)[.。?؟।][\s»→*]*$")
+_STOPS = (".", "。", "?", "؟", "।")
 
 
 class Look(NamedTuple):
@@ -80,7 +80,8 @@ def look(masked: str) -> Look:
     own = OWN in (_SLOT.sub(SLOT, bare) if slots else bare)
     if own and not slots:
         crumbs = bool(_CRUMBS.match(bare)) if len(bare) < 200 else False
-        sentence = not crumbs and bool(_SENTENCE.search(masked)) and (len(bare) > 80 or _weight(bare) >= 16)
+        end = masked.rstrip(" \t»→*")
+        sentence = not crumbs and end.endswith(_STOPS) and not end.endswith("..") and (len(bare) > 80 or _weight(bare) >= 16)
         return Look(True, sentence, "", bare, "", bare, crumbs)
     template = _DIGITS.sub("9", _SLOT.sub(SLOT, bare) if slots else bare)
     return Look(own, False, "\x03".join(slots), template, "".join(_LETTERS.findall(template)), bare, False)
