@@ -20,6 +20,7 @@ from pagelore.llm import codepoints as C
 from pagelore.llm import pagelines as P
 from pagelore.llm import residue as R
 from pagelore.session import cut
+from pagelore.sources.html import compile_blocks
 
 #: An element is template if it recurs on so many pages of its host, or on so many hosts.
 MIN_PAGES, MIN_SITES = 3, 3
@@ -170,3 +171,16 @@ def boilerplate(blocks: DataFrame, min_pages: int = MIN_PAGES, min_sites: int =
     bare = p.select("key", (F.col("free") | (F.col("script") & ~F.col("content") & ~F.coalesce("shows", F.lit(False)))).alias("body"))
     rest = t.where(F.col("cls").isin(BODY, CONTROL, HEAD)).select("key", (F.col("cls") != CONTROL).alias("body"))
     return named.union(said).union(bare).union(rest).groupBy("key").agg(F.max("body").alias("body")).where("not body").select("key")
+
+
+def main_text(captures: DataFrame, capture: str, page: str, site: str, url: str, html: str, **how) -> DataFrame:
+    """`capture` and main_text of each page in html: its elements, compiled in page order, without those `boilerplate` names.
+
+    Pages without html, or without anything but boilerplate, have no row; a capture delivered twice counts once.
+    """
+    p = captures.select(F.col(capture).alias("c"), F.col(page).alias("p"), F.col(site).alias("s"), F.col(url).alias("u"), F.col(html).alias("h")).dropDuplicates(["c"])
+    e = compile_blocks(p.select("c", "u", "h"), "c", "h", "u").select("c", "ord", "kind", "zone", "text")
+    e = cut(e.join(p.select("c", "p", "s", "u"), "c").withColumn("key", F.xxhash64("c", "ord")))
+    gone = boilerplate(e.select("key", F.col("c").alias("capture"), F.col("s").alias("site"), F.col("p").alias("page"), "kind", "zone", F.col("u").alias("url"), "text"), **how)
+    kept = e.join(gone, "key", "left_anti").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("x"))
+    return kept.select(F.col("c").alias(capture), F.array_join(F.transform("x", lambda b: b["text"]), "\n").alias("main_text"))

@@ -64,6 +64,11 @@ def p6_main(spark: SparkSession, d: str) -> DataFrame:
     return blocks.where("trim(text) <> ''").join(p6_found(spark, d), "block_key", "left_anti").select("capture_id", "ord", "block_key", "text")
 
 
+def p6_html(spark: SparkSession, d: str) -> DataFrame:
+    """The main text of each capture from its html."""
+    return mainbody.main_text(table(spark, d, "captures"), "capture_id", "page_id", "site", "source_url", "current_html")
+
+
 def p7_windows(spark: SparkSession, d: str) -> DataFrame:
     """Every text in a window of each token budget."""
     docs = table(spark, d, "documents", "doc_id", "text").select("doc_id", token_count("text").alias("tokens"))

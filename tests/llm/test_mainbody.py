@@ -42,3 +42,15 @@ def test_body_of_pages(spark):
     assert len(got) == len(set(got))
     assert {rows[k][7] for k in set(got) ^ want} == set()
     assert M.boilerplate(df.limit(0)).count() == 0
+
+
+def test_main_text_of_html(spark):
+    rows = []
+    for page in range(8):
+        n = ["Tarvok", "Melquin", "Sorbane", "Pelvrit", "Dunweld", "Harkess", "Corvane", "Borlin"][page]
+        html = f"<html><head><title>{n} - Acme</title></head><body><nav><a href='/d'>Docs</a></nav><div><h1>{n} limits</h1><p>{n} keeps every block for {page} days unless a hold is placed on it.</p></div><p>All rights reserved.</p></body></html>"
+        rows.append((page, page, "www.acme.example", f"https://www.acme.example/{n.lower()}", html, "x"))
+    rows += [(50, 50, "www.acme.example", "https://www.acme.example/none", None, "x"), (51, 51, "www.acme.example", "https://www.acme.example/empty", "", "x")]
+    df = spark.createDataFrame(rows + rows[:3], "id long, page long, host string, url string, html string, text string")
+    got = {r.id: r.main_text for r in M.main_text(df, "id", "page", "host", "url", "html").collect()}
+    assert set(got) == set(range(8)) and got[2] == "Sorbane - Acme\nSorbane limits\nSorbane keeps every block for 2 days unless a hold is placed on it."
