@@ -162,7 +162,7 @@ def oracle_sql():
             pr AS (SELECT cl.claim, cl.claim_tokens, cl.seq, cl.numbers, ca.ord, ca.seg_no, ca.st, ca.sa, ca.sn FROM cl JOIN ca USING (page) WHERE len(ca.st) > 0),
             lx AS (SELECT pr.claim, pr.ord, pr.seg_no, sum(CASE WHEN len(list_filter(pr.st, lambda o: {S.tokens_match('w.token', 'o')})) > 0 THEN w.weight ELSE 0 END) / sum(w.weight) AS lexical FROM pr JOIN w USING (claim) GROUP BY 1, 2, 3)
             SELECT pr.claim, pr.ord, pr.seg_no, round(coalesce(lx.lexical, 0), 5) AS lexical,
-              round(CASE WHEN len(seq) > 0 AND contains({pads('sa')}, {pads('seq')}) THEN 1.0 WHEN len(seq) > 0 AND len(list_filter(seq, lambda q: NOT list_contains(sa, q))) = 0 THEN 0.7 ELSE 0.0 END, 5) AS exact,
+              round(CASE WHEN len(seq) > 0 AND contains({pads('sa')}, {pads('seq')}) THEN 1.0::DOUBLE WHEN len(seq) > 0 AND len(list_filter(seq, lambda q: NOT list_contains(sa, q))) = 0 THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END, 5) AS exact,
               round(CASE WHEN len(numbers) > 0 THEN len(list_intersect(numbers, sn)) / len(numbers) ELSE 0.0 END, 5) AS numeric
             FROM pr LEFT JOIN lx USING (claim, ord, seg_no)""",
         "e33_confidence_band": "SELECT outcome_id, CASE WHEN support_score >= 0.92 THEN 'high' WHEN support_score >= 0.82 THEN 'medium' WHEN support_score IS NOT NULL THEN 'review' END AS band FROM (SELECT DISTINCT outcome_id, support_score FROM claim_outcomes) x",

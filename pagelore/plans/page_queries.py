@@ -122,7 +122,7 @@ def oracle_sql():
         "v08_salient": f"SELECT block_key, {sal} AS salient FROM {B} b WHERE block_key IN (SELECT block_key FROM snapshot_blocks WHERE text IS NOT NULL)",
         "v12_diagnostics": f"""SELECT *, CASE WHEN {shell} THEN 'poor' WHEN nav_blocks * 2 > blocks OR content_chars < 600 THEN 'fair' ELSE 'good' END AS quality, CASE WHEN {shell} THEN 'shell' WHEN nav_blocks * 2 > blocks THEN 'mostly-navigation' WHEN content_chars < 600 THEN 'thin' END AS reason
             FROM (SELECT page, count(*) AS blocks, {n('heading')}, {n('text')}, {n('list')}, {n('table')}, {n('link')}, {n('button')}, {n('input')}, count(*) FILTER (coalesce({zone} = 'main', false)) AS main_blocks,
-            sum(CASE WHEN role = 'content' THEN length(text) ELSE 0 END) AS content_chars, count(*) FILTER (role IN ('primary-nav', 'secondary-nav')) AS nav_blocks FROM {B} b GROUP BY page) x""",
+            CAST(sum(CASE WHEN role = 'content' THEN length(text) ELSE 0 END) AS BIGINT) AS content_chars, count(*) FILTER (role IN ('primary-nav', 'secondary-nav')) AS nav_blocks FROM {B} b GROUP BY page) x""",
         "v15_envelope": f"WITH {flags}, v AS ({view(compact, cline, 'view')}) SELECT page, CAST(len(string_split(view, chr(10))) AS INT) AS lines, CAST(length(view) AS INT) AS chars, CAST(greatest(1, ceil(length(view) / 4)) AS INT) AS tokens FROM v",
         "v16_first_blocks": f"SELECT page, arg_min(ref, ord) AS first_ref, count(*) FILTER (ord <= 12) AS n FROM {B} b GROUP BY page",
         "policy_signals": f"WITH {sig} SELECT * FROM sg",

@@ -239,7 +239,7 @@ def oracle_sql():
         "m11_commands": "SELECT event_id, CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'follow' WHEN 'signup' THEN 'submit' WHEN 'purchase' THEN 'submit' ELSE 'unknown' END AS command, CASE WHEN event_type IN ('view', 'click') THEN 'done' WHEN event_type IN ('signup', 'purchase') THEN 'unsupported-action' ELSE 'invalid-input' END AS result FROM events",
         "m13_prefill": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
         "l02_ordinal": "SELECT block_key, coalesce(TRY_CAST(nullif(regexp_extract(stable_ref, ':([0-9]+)$', 1), '') AS INT), CASE WHEN regexp_extract(stable_ref, ':([0-9]+)$', 1) = '' THEN 1 END) AS ordinal FROM (SELECT DISTINCT block_key, stable_ref FROM snapshot_blocks) x",
-        "l03_pages": "SELECT event_id, 1 + s - least(0, min(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS page FROM (SELECT *, sum(CASE WHEN event_type = 'click' THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM events WHERE event_type IN ('click', 'error')) x",
+        "l03_pages": "SELECT event_id, CAST(1 + s - least(0, min(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS BIGINT) AS page FROM (SELECT *, sum(CASE WHEN event_type = 'click' THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM events WHERE event_type IN ('click', 'error')) x",
         "telemetry_summary": "SELECT event_type, count(*) AS events, count(DISTINCT user_id) AS users, max(ts) AS last_at FROM events GROUP BY GROUPING SETS ((event_type), ())",
         "telemetry_recent": "SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 50",
         "telemetry_fields": "SELECT event_id, coalesce(json_extract_string(props, '$.kind'), json_extract_string(props, '$.k'), json_extract_string(props, '$.payload.k')) AS k FROM events",

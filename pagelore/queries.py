@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelore.operators import nested, reports, snapshots
-from pagelore.plans import block_queries, evidence_queries, page_queries, relational_queries, session_queries, text_queries
+from pagelore.plans import block_queries, evidence_queries, more_queries, page_queries, relational_queries, session_queries, text_queries
 from pagelore.session import table
 
-AREAS = [text_queries, block_queries, evidence_queries, page_queries, session_queries, relational_queries]
+AREAS = [text_queries, block_queries, evidence_queries, page_queries, session_queries, relational_queries, more_queries]
 
 REF_INDEX = dict(entity="page_id", snapshot="snapshot_id", taken="taken_at", ref="stable_ref", ingested="ingested_at", compare=["block_kind", "block_role", "text"])
 
