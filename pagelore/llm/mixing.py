@@ -128,9 +128,10 @@ def mix(docs: DataFrame, key: str, source: str, size: Column | str, targets: Dat
     uses = uses.union(edge.select("k", "src", "n", F.col("every") + F.when(F.col("no") <= F.col("first"), 1).otherwise(0)))
     uses = cut(uses.select("k", "src", F.col("n").alias("tokens"), F.col("uses").cast("long").alias("uses")).where("uses > 0"))
     got = uses.groupBy("src").agg(F.sum(F.col("tokens") * F.col("uses")).alias("got"), F.count("*").alias("records"), F.sum("uses").alias("uses"))
-    all_ = got.agg(F.sum("got").alias("all"))
-    shares = plan.join(got, "src", "left").join(F.broadcast(all_), F.lit(True), "left").select(
-        F.col("src").alias(source), F.col("share").alias("target_share"), F.coalesce(F.col("got") / F.col("all"), F.lit(0.0)).alias("reached_share"), F.col("budget").alias("budget_tokens"),
+    got = cut(got)
+    all_ = got.agg(F.sum("got").alias("all")).first()["all"] or 0
+    shares = plan.join(got, "src", "left").select(
+        F.col("src").alias(source), F.col("share").alias("target_share"), F.coalesce(F.col("got") / F.nullif(F.lit(all_), F.lit(0)), F.lit(0.0)).alias("reached_share"), F.col("budget").alias("budget_tokens"),
         F.coalesce("got", F.lit(0)).alias("tokens"), F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("uses", F.lit(0)).alias("uses"), F.col("cap").alias("max_repeats"),
     )
     return uses.select(F.col("k").alias(key), F.col("src").alias(source), "tokens", "uses"), shares

@@ -13,7 +13,8 @@ from pagelore.session import cut
 ITEMS_PER_PACKER = 50_000
 #: Packers whose half-filled windows are packed once more together.
 SECOND_ROUND = 16
-SCHEMA = "packer long, item long, window long"
+#: Budgets are settings of a run; more than so many are refused.
+MAX_BUDGETS = 1000
 
 
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -71,9 +72,13 @@ def fill_windows(docs: DataFrame, key: str, size: Column | str, budgets: DataFra
     """
     d = cut(docs.select(F.col(key).alias("k"), F.coalesce(size if isinstance(size, Column) else F.col(size), F.lit(0)).cast("long").alias("n")).distinct())
     b = budgets.select(F.col(budget).cast("string").alias("budget"), F.col(capacity).cast("long").alias("capacity")).where("capacity > 0").distinct()
+    settings = b.orderBy("budget", "capacity").limit(MAX_BUDGETS + 1).collect()
+    if len(settings) > MAX_BUDGETS:
+        raise ValueError(f"more than {MAX_BUDGETS} budgets")
     packers = max(1, round(d.count() / per_packer))
-    # budgets are a table of settings; every item meets each of them, which is the task
-    x = d.join(F.broadcast(b), F.lit(True))
+    # every item is packed for each budget, which is the task
+    each = F.array(*[F.struct(F.lit(r.budget).alias("budget"), F.lit(r.capacity).cast("long").alias("capacity")) for r in settings]) if settings else F.array().cast("array<struct<budget:string,capacity:bigint>>")
+    x = d.select("*", F.inline(each))
     whole = F.floor(F.col("n") / F.col("capacity"))
     rest = F.col("n") % F.col("capacity")
     x = x.withColumns({"full": whole, "rest": rest})
