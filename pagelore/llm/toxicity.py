@@ -26,8 +26,10 @@ CHAIN = ("unacceptable", "abusive", "hateful", "sexual")
 #: The most labelled documents that the models are fitted to; of more, those with the least hash of their id.
 MAX_LABELLED = 20_000
 WINDOW = 14
-BITS = 18
+BITS = 21
 FOLDS = 3
+#: Log odds by frequencies alone from which on a sentence of a text voted for is an example of its own.
+CLEAR = 3.0
 #: Rounds of the first link and of the later ones.
 ROUNDS, LATER_ROUNDS = 5, 3
 #: For each text voted against, windows drawn and best windows added in each round; the weight of each.
@@ -169,11 +171,12 @@ N_FEATURES = 2 << BITS
 
 @dataclass
 class Windows:
-    """Windows of a run of texts: first word, end, text."""
+    """Windows of a run of texts: first word, end, text, sentence."""
 
     first: np.ndarray
     end: np.ndarray
     doc: np.ndarray
+    sent: np.ndarray
 
 
 def windows(g: Grams, size: int = WINDOW) -> Windows:
@@ -182,7 +185,7 @@ def windows(g: Grams, size: int = WINDOW) -> Windows:
     s = np.repeat(np.arange(len(n)), k)
     at = np.arange(len(s)) - np.repeat(np.cumsum(k) - k, k)
     first = g.sent[:-1][s] + at
-    return Windows(first, np.minimum(first + size, g.sent[1:][s]), g.doc[s])
+    return Windows(first, np.minimum(first + size, g.sent[1:][s]), g.doc[s], s)
 
 
 @dataclass
@@ -191,6 +194,15 @@ class Model:
     bias: float
     prior: np.ndarray  # weights of the log odds of the links before
 
+    def __getstate__(self) -> tuple:
+        used = np.flatnonzero(self.weights)
+        return used.astype(np.int32), self.weights[used], self.bias, self.prior
+
+    def __setstate__(self, state: tuple) -> None:
+        used, w, self.bias, self.prior = state
+        self.weights = np.zeros(N_FEATURES, np.float32)
+        self.weights[used] = w
+
     def score(self, g: Grams, w: Windows, before: list[np.ndarray]) -> np.ndarray:
         c = np.concatenate([[0.0], np.cumsum(self.weights[g.uni].astype(np.float64) + self.weights[g.bi])])
         # the pair that the last word starts lies outside the window
@@ -273,6 +285,9 @@ def fit(g: Grams, w: Windows, y: np.ndarray, train: np.ndarray, before: list[np.
     positive &= keep
     base = len(pos) / len(docs)
     model = Model(np.where(positive, np.maximum(0, 0.5 * (np.log((a + 4 * base) / (a + b + 4)) - np.log(base))), 0), -3.0, np.zeros(k))
+    # a text may hold several passages: sentences that the frequencies alone speak for are examples beside the best window
+    said, where = best(w.sent, np.where(is_pos[w.doc], model.score(g, w, before), -30.0), len(g.doc))
+    clear = where[(said > CLEAR) & (where >= 0)]
     rnd = np.random.default_rng(seed)
     mine = np.flatnonzero(is_neg[w.doc])
     mine_doc = w.doc[mine]
@@ -289,9 +304,10 @@ def fit(g: Grams, w: Windows, y: np.ndarray, train: np.ndarray, before: list[np.
             pool = np.concatenate([pool, mine[hard]])
             zn[hard] = -np.inf
         pool = np.unique(pool)
-        ids = np.concatenate([at[p], pool])
-        yy = np.concatenate([np.ones(len(p)), np.zeros(len(pool))])
-        wt = np.concatenate([trust * np.abs(2 * y[p] - 1), np.full(len(pool), NEGATIVE)])
+        more = np.setdiff1d(clear, at[p])
+        ids = np.concatenate([at[p], more, pool])
+        yy = np.concatenate([np.ones(len(p) + len(more)), np.zeros(len(pool))])
+        wt = np.concatenate([trust * np.abs(2 * y[p] - 1), np.full(len(more), 0.7), np.full(len(pool), NEGATIVE)])
         row, feat = _rows(g, w, ids, keep)
         prior = np.stack([x[ids] for x in before], 1) if k else np.zeros((len(ids), 0))
         model = _logistic(row, feat, prior, yy, wt, Model(np.zeros(N_FEATURES), -2.0, model.prior), positive)
