@@ -50,7 +50,7 @@ class Look(NamedTuple):
     slots: str  # the placeholders as written, or ""
     template: str  # the line with subject, placeholders and digits masked
     key: str  # the letters of the template of a line that does not name the subject
-    bare: str  # the line without labels and edge marks
+    bare: str  # the line without labels and edge marks, placeholders masked
     crumbs: bool  # a path of names
 
 
@@ -73,17 +73,18 @@ def brand_of(host: str | None) -> str:
 
 def look(masked: str) -> Look:
     """What a line is, from its consistent form with the subject replaced by OWN and the site's name by BRAND."""
-    bare = masked.strip(_EDGE)
+    # placeholders first, as their brackets look like edge marks
+    slots = _SLOT.findall(masked) if _MAYBE_SLOT.search(masked) else ()
+    bare = (_SLOT.sub(SLOT, masked) if slots else masked).strip(_EDGE)
     if OWN in bare:
         bare = _LABEL_AFTER.sub("", _LABEL_BEFORE.sub("", bare)).strip(" \t-–—•·*»«→>")
-    slots = _SLOT.findall(bare) if _MAYBE_SLOT.search(bare) else ()
-    own = OWN in (_SLOT.sub(SLOT, bare) if slots else bare)
+    own = OWN in bare
     if own and not slots:
         crumbs = bool(_CRUMBS.match(bare)) if len(bare) < 200 else False
         end = masked.rstrip(" \t»→*")
         sentence = not crumbs and end.endswith(_STOPS) and not end.endswith("..") and (len(bare) > 80 or _weight(bare) >= 16)
         return Look(True, sentence, "", bare, "", bare, crumbs)
-    template = _DIGITS.sub("9", _SLOT.sub(SLOT, bare) if slots else bare)
+    template = _DIGITS.sub("9", bare)
     return Look(own, False, "\x03".join(slots), template, "".join(_LETTERS.findall(template)), bare, False)
 
 
