@@ -121,7 +121,8 @@ def s11_origin_key(spark, d):
 
 
 def s17_search_url(spark, d):
-    c = table(spark, d, "claim_outcomes", "outcome_id", "claim_statement").where("claim_statement rlike '^[ -~]*$'").distinct()
+    """Every statement as the query of a search address: the percent bytes of its UTF-8, a blank as a plus."""
+    c = table(spark, d, "claim_outcomes", "outcome_id", "claim_statement").where("claim_statement is not null").distinct()
     return c.select("outcome_id", F.concat(F.lit("https://search.example/?q="), F.url_encode("claim_statement")).alias("url"))
 
 
