@@ -100,6 +100,24 @@ def prepare_claims(claims: DataFrame) -> DataFrame:
     })
 
 
+def scripts(blocks: DataFrame) -> DataFrame:
+    """page, latin, cjk, crosses: the ASCII and CJK letters of a page's content, and whether it is matched across languages."""
+    b = blocks.where(F.col("role").isin("content", "supporting", "metadata") & F.col("text").isNotNull())
+    x = b.groupBy("page").agg(F.sum(F.regexp_count("text", F.lit("[A-Za-z]"))).alias("latin"), F.sum(F.regexp_count("text", F.lit(f"[{L.CJK}]"))).alias("cjk"))
+    return x.withColumn("crosses", (F.col("latin") >= 48) & (F.col("latin") >= F.greatest(F.col("cjk") * 3, F.lit(12))))
+
+
+def matching_claims(claims: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Prepared claims with the tokens and anchors they are matched by on their page, and `crosses`: a CJK claim with glosses
+    stands on a page mostly in Latin script and is matched by these. `own_anchors` are those of the statement as it is."""
+    on = scripts(blocks).where("crosses").select("page", F.lit(True).alias("latin_page"))
+    c = prepare_claims(claims).join(on, "page", "left").withColumn("glosses", T.glosses(F.col("statement")))
+    c = c.withColumns({"crosses": F.coalesce("latin_page", F.lit(False)) & T.is_cjk(F.col("statement")) & (F.size("glosses") > 0), "own_anchors": F.col("anchors")})
+    pick = lambda across, own: F.when(F.col("crosses"), across).otherwise(F.col(own))
+    c = c.withColumns({"claim_tokens": pick(F.col("glosses"), "claim_tokens"), "anchors": pick(T.anchor_tokens(F.col("glosses")), "anchors")})
+    return c.drop("latin_page", "glosses")
+
+
 def claim_weights(claims: DataFrame, prepared: DataFrame) -> DataFrame:
     """page, claim and the weight of each of its tokens by how many blocks of the page match it: rare tokens weigh more."""
     n = prepared.groupBy("page").agg(F.count("*").alias("n"))
@@ -246,7 +264,11 @@ def contradictions(pairs: DataFrame) -> DataFrame:
 def scored(claims: DataFrame, blocks: DataFrame) -> DataFrame:
     """Every claim against every passage of its page with score, parts and rank (best first; ties by block, then passage)."""
     b = cut(prepare_blocks(blocks))
-    c = cut(prepare_claims(claims))
+    return ranked(cut(matching_claims(claims, b)), b)
+
+
+def ranked(c: DataFrame, b: DataFrame) -> DataFrame:
+    """`scored` of claims with their matching tokens and of prepared blocks, both cut."""
     # only pages that a claim is asked on have their passages cut
     on = candidates(b.join(c.select("page").distinct(), "page", "left_semi"))
     p = score(c.join(claim_weights(c, b), ["page", "claim"]).join(on, "page"))
@@ -272,9 +294,11 @@ def checked_refs(ranked: DataFrame, most: int = 3) -> DataFrame:
 
 def verdicts(claims: DataFrame, blocks: DataFrame) -> DataFrame:
     """page, claim, verdict, support (refs in order), support_score, band, reason: the decision ladder over the ranked passages,
-    with the anchor and polarity guards. Claims of pages without blocks have insufficient evidence."""
-    base = prepare_claims(claims).select("page", "claim", "statement", "words", "anchors", "numbers")
-    r = cut(scored(claims, blocks))
+    with the anchor and polarity guards. Claims matched across languages have lower bars and are not held back as weak. Claims of pages without blocks have insufficient evidence."""
+    b = cut(prepare_blocks(blocks))
+    c = cut(matching_claims(claims, b))
+    base = c.select("page", "claim", "statement", "words", "anchors", "own_anchors", "crosses", "numbers")
+    r = cut(ranked(c, b))
     best = r.groupBy("page", "claim").agg(
         F.max(F.when(~F.col("contradictory"), F.col("score"))).alias("best"), F.max(F.when(F.col("contradictory") & (F.col("score") >= 0.05), F.col("score"))).alias("against"), F.max("contradictory").alias("any_against")
     )
@@ -287,15 +311,16 @@ def verdicts(claims: DataFrame, blocks: DataFrame) -> DataFrame:
     other = r.where(F.col("contradictory") & (F.col("score") >= 0.05)).withColumn("nth", F.row_number().over(W.partitionBy("page", "claim").orderBy("rank"))).where("nth <= 3")
     other = other.groupBy("page", "claim").agg(F.array_distinct(F.flatten(F.collect_list("seg_tokens"))).alias("other_tokens"))
     x = base.join(best, ["page", "claim"], "left").join(sup, ["page", "claim"], "left").join(other, ["page", "claim"], "left")
-    n = F.size("anchors")
-    need = F.when(n == 0, 0.0).when(n <= 2, 1.0).when(n == 3, 2 / 3).otherwise(0.6)
-    lacks = lambda tokens: (n > 0) & (F.size(T.matched(F.col("anchors"), F.coalesce(tokens, F.array().cast("array<string>")))) / F.greatest(n, F.lit(1)) + 0.001 < need)
-    thin, thin_against = lacks("tokens"), lacks("other_tokens")
+    need = lambda n: F.when(n == 0, 0.0).when(n <= 2, 1.0).when(n == 3, 2 / 3).otherwise(0.6)
+    lacks = lambda tokens, anchors: T.let(F.size(anchors), lambda n: (n > 0) & (F.size(T.matched(F.col(anchors), F.coalesce(tokens, F.array().cast("array<string>")))) / F.greatest(n, F.lit(1)) + 0.001 < need(n)))
+    # as in the reference, what speaks against a claim is held to the anchors of its own language
+    thin, thin_against = lacks("tokens", "anchors"), lacks("other_tokens", "own_anchors")
     strong = F.coalesce("numeric", F.lit(0.0)) >= 0.99
-    bar = F.when(thin, 0.52).when((F.col("n_support") < 2) & strong, 0.40).when((F.col("n_support") >= 2) & (F.col("narrative") >= 2), 0.46).otherwise(0.52)
+    lone, wide = (F.col("n_support") < 2) & strong, (F.col("n_support") >= 2) & (F.col("narrative") >= 2)
+    bar = F.when(F.col("crosses"), F.when(~thin & (lone | wide), 0.38).otherwise(0.40)).when(thin, 0.52).when(lone, 0.40).when(wide, 0.46).otherwise(0.52)
     b, a = F.coalesce("best", F.lit(0.0)), F.coalesce("against", F.lit(0.0))
     conf = T.round2(F.lit(0.55) + b * 0.40)
-    weak = (conf < 0.82) & (F.coalesce("exact", F.lit(0.0)) < 0.70) & ~strong & (F.col("n_support") < 2)
+    weak = ~F.col("crosses") & (conf < 0.82) & (F.coalesce("exact", F.lit(0.0)) < 0.70) & ~strong & (F.col("n_support") < 2)
     as_ = lambda v, r: F.struct((F.lit(v) if isinstance(v, str) else v).alias("v"), (F.lit(r) if r is None or isinstance(r, str) else r).cast("string").alias("r"))
     none = lambda reason: as_(F.when(F.col("any_against"), "contradicted").otherwise("insufficient-evidence"), F.when(F.col("any_against"), "contradictory-evidence").otherwise(reason))
     more = as_("needs-more-browsing", "needs-more-browsing")

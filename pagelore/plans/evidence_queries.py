@@ -53,7 +53,7 @@ def e10_primary_heading(spark, d):
 def e19_score(spark, d):
     """Scores before polarity."""
     b = E.prepare_blocks(blocks(spark, d))
-    c = E.prepare_claims(claims(spark, d))
+    c = E.matching_claims(claims(spark, d), b)
     p = E.score(c.join(E.claim_weights(c, b), ["page", "claim"]).join(E.candidates(b), "page"))
     return p.select("claim", "ord", "seg_no", *[F.round(x, 5).alias(x) for x in ("lexical", "exact", "numeric")])
 

@@ -66,9 +66,8 @@ def t27_stems_of_korean(spark, d):
 
 def e05_scripts_of_pages(spark, d):
     """Latin and CJK letters of a page's content, and whether it is matched across languages."""
-    b = block_queries.blocks(spark, d, "capture_id", "block_role", "text").where(F.col("block_role").isin("content", "supporting", "metadata") & F.col("text").isNotNull())
-    x = b.groupBy("capture_id").agg(F.sum(F.regexp_count("text", F.lit("[A-Za-z]"))).alias("latin"), F.sum(F.regexp_count("text", F.lit(f"[{L.CJK}]"))).alias("cjk"))
-    return x.withColumn("crosses", (F.col("latin") >= 48) & (F.col("latin") >= F.greatest(F.col("cjk") * 3, F.lit(12))))
+    b = block_queries.blocks(spark, d, "capture_id", "block_role", "text")
+    return E.scripts(b.withColumnsRenamed({"capture_id": "page", "block_role": "role"})).withColumnRenamed("page", "capture_id")
 
 
 def e16_structure(spark, d):
