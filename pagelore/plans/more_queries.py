@@ -20,6 +20,7 @@ from pagelore.sources import html as H
 PARTICLES = "에서는 에게서 으로써 으로는 에서 에게 으로 까지 부터 에는 와는 과는 은 는 이 가 을 를 의 에 로 와 과 도".split()
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 PLACES = {"text": 5, "head": 3, "href": 4, "tag": 2, "kind": 1}
+PATHS = {"parent": 6, "full": 5, "under": 2}
 # --- end of fixed values ------------------------------------------------------------------------------------------
 
 
@@ -98,17 +99,29 @@ def e34_outcomes(spark, d):
 
 
 def l01_locate(spark, d):
-    """Each link or control of a page's first capture found again in its last one: by text, target, tag and kind; ties by order."""
-    b = block_queries.blocks(spark, d, "page_id", "capture_id", "ord", "block_kind", "text", "attributes").where(F.col("block_kind").isin("link", "button", "input") & F.col("text").isNotNull())
-    cols = {"href": F.coalesce(F.get_json_object("attributes", "$.href"), F.lit("")), "tag": F.coalesce(F.get_json_object("attributes", "$.tagName"), F.lit("")), "norm": T.normalize(F.col("text"))}
+    """Each link or control of a page's first capture found again in its last one: by text, target, tag, DOM path and kind; ties by
+    order. Texts are equal or one holds the other; another target or tag rules a candidate out, a missing one does not."""
+    # rows delivered twice are the same, so they may go after the others
+    b = table(spark, d, "snapshot_blocks", "block_key", "page_id", "capture_id", "ord", "block_kind", "text", "attributes", "dom_path_hint").where(F.col("block_kind").isin("link", "button", "input") & F.col("text").isNotNull())
+    of = lambda key: F.coalesce(F.get_json_object("attributes", f"$.{key}"), F.lit(""))
+    cols = {"href": of("href"), "tag": F.lower(of("tagName")), "said": F.lower(T.squeeze(F.col("text"))), "hint": F.coalesce(F.lower("dom_path_hint"), F.lit(""))}
     ends = b.groupBy("page_id").agg(F.min("capture_id").alias("first"), F.max("capture_id").alias("last")).where("first < last")
-    b = b.withColumns(cols).join(ends, "page_id")
-    t, c = b.where("capture_id = first").alias("t"), b.where("capture_id = last").alias("c")
-    same = F.col("t.norm") == F.col("c.norm")
-    # candidates share their text: an equi-join instead of all pairs of a page
-    x = t.join(c, (F.col("t.page_id") == F.col("c.page_id")) & same)
-    s = F.lit(PLACES["text"]) + F.when(F.col("t.href") == F.col("c.href"), PLACES["href"]).otherwise(0) + F.when(F.col("t.tag") == F.col("c.tag"), PLACES["tag"]).otherwise(0) + F.when(F.col("t.block_kind") == F.col("c.block_kind"), PLACES["kind"]).otherwise(0)
-    best = x.select(F.col("t.block_key").alias("block_key"), F.struct(s.alias("score"), (-F.col("c.ord")).alias("o"), (-F.col("c.block_key")).alias("k")).alias("m")).groupBy("block_key").agg(F.max("m").alias("m"))
+    b = b.join(ends, "page_id").where("capture_id in (first, last)").withColumns(cols).drop("text", "attributes", "dom_path_hint").dropDuplicates(["block_key"])
+    # the paths of a candidate are of tags alone
+    b = b.withColumn("parent", F.regexp_replace("hint", "[#.][^ ]*", "")).withColumn("full", F.concat_ws(" > ", "parent", F.nullif("tag", F.lit(""))))
+    t, c = b.where("capture_id = first").alias("t"), b.where("capture_id = last and (said <> '' or href <> '')").alias("c")
+    # all pairs of a page's controls: both captures are bounded documents
+    x = t.join(c, F.col("t.page_id") == F.col("c.page_id"))
+    mine, other = (lambda k: F.col(f"t.{k}")), (lambda k: F.col(f"c.{k}"))
+    given = lambda k: F.when(mine(k) == "", 0)
+    # null where a candidate is ruled out
+    text = given("said").when(mine("said") == other("said"), PLACES["text"]).when(other("said").contains(mine("said")) | mine("said").contains(other("said")), PLACES["head"])
+    href = given("href").when(mine("href") == other("href"), PLACES["href"]).when(other("href") == "", 0)
+    tag = given("tag").when(mine("tag") == other("tag"), PLACES["tag"]).when(other("tag") == "", 0)
+    path = F.when((mine("hint") == "") | (other("hint") == ""), 0).when(other("parent") == mine("hint"), PATHS["parent"]).when(other("full") == mine("hint"), PATHS["full"])
+    path = path.when(other("full").startswith(F.concat(mine("hint"), F.lit(" >"))), PATHS["under"]).otherwise(0)
+    s = text + href + tag + path + F.when(mine("block_kind") == other("block_kind"), PLACES["kind"]).otherwise(0)
+    best = x.select(F.col("t.block_key").alias("block_key"), s.alias("s"), F.struct(s.alias("score"), (-F.col("c.ord")).alias("o"), (-F.col("c.block_key")).alias("k")).alias("m")).where("s > 0").groupBy("block_key").agg(F.max("m").alias("m"))
     return best.select("block_key", (-F.col("m.k")).alias("found_key"), F.col("m.score").alias("score"))
 
 
