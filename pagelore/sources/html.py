@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -35,10 +36,14 @@ ZONES = [
         content-section""".split())),
     ("header", {"header"}, set()), ("footer", {"footer"}, set()),
 ]
+#: Tags that do not begin a new line of text.
+INLINE = set("a abbr b bdi bdo cite code data dfn em font i kbd label mark q s samp small span strong sub sup td th time tt u var wbr".split())
+RAW_TEXT = {"script", "style", "noscript", "template", "textarea"}
 HYDRATION_IDS = {"__NEXT_DATA__", "__NUXT__", "__NUXT_DATA__", "__APOLLO_STATE__", "__INITIAL_STATE__", "__PRELOADED_STATE__"}
 SUMMARY_KEYS = "@type name headline description url datePublished dateModified price availability title page pathname slug query buildId locale".split()
 SUMMARY_FIELDS, SUMMARY_DEPTH, SUMMARY_ITEMS = 14, 4, 3
 # --- end of fixed values ------------------------------------------------------------------------------------------
+_MARKUP = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)[^>]*>", re.S)
 _HIDING_CLASS = re.compile(r"\.([A-Za-z_][\w-]*)\s*\{[^}]*?(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.A)
 _HIDING_STYLE = re.compile(r"(?:display: ?none|visibility: ?hidden)", re.I)
 
@@ -196,6 +201,72 @@ def summary(kind: str, raw: str) -> str:
     return squeeze(f"{kind}: {' | '.join(out)}") if out else ""
 
 
+def element_lines(html: str) -> tuple[list[str], list[str], list[tuple[int, int]]]:
+    """The text lines of a page in document order, the texts of its links, and the spans of lines that its elements hold, each
+    span once. One pass over the tags; open elements end with their parent, a paragraph, item, row or cell with the next one."""
+    lines: list[str] = []
+    links: list[str] = []
+    spans: set[tuple[int, int]] = set()
+    buf: list[str] = []
+    stack: list[tuple[str, int]] = []
+    pos, raw, link = 0, "", -1
+
+    def flush() -> None:
+        nonlocal link
+        t = squeeze(unescape("".join(buf)))
+        buf.clear()
+        link = -1
+        if t:
+            lines.append(t)
+
+    def pop(n: int) -> None:
+        while len(stack) > n:
+            first = stack.pop()[1]
+            if first < len(lines):
+                spans.add((first, len(lines)))
+
+    for m in _MARKUP.finditer(html):
+        if not raw:
+            buf.append(html[pos : m.start()])
+        pos = m.end()
+        end, tag = m[1], (m[2] or "").lower()
+        if raw:
+            raw = "" if end and tag == raw else raw
+            continue
+        if not tag:
+            continue
+        if tag in RAW_TEXT:
+            raw = tag if not end else ""
+            continue
+        if tag == "a":
+            if not end:
+                link = len(buf)
+            elif link >= 0:
+                if t := squeeze(unescape("".join(buf[link:]))):
+                    links.append(t)
+                link = -1
+        if tag in INLINE:
+            if tag in ("td", "th") and not end and buf:
+                buf.append(" ")
+            continue
+        flush()
+        if end:
+            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            if at is not None:
+                pop(at)
+        elif tag not in VOID:
+            if stack and stack[-1][0] == "p":
+                pop(len(stack) - 1)
+            if stack and stack[-1][0] in CLOSES.get(tag, ()):
+                pop(len(stack) - 1)
+            stack.append((tag, len(lines)))
+    if not raw:
+        buf.append(html[pos:])
+    flush()
+    pop(0)
+    return lines, links, sorted(spans)
+
+
 def slug(text: str) -> str:
     return re.sub(r"[^a-z0-9]+", "-", text.lower()).strip("-")[:48] or "block"
 
