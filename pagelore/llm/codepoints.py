@@ -68,16 +68,22 @@ class Lut:
                     at += len(seq)
         self.pool = np.concatenate([np.arange(N_CODES, dtype=np.uint32), np.array(pool, dtype=np.uint32)])
         self.first = np.where(self.length == 1, self.pool[np.minimum(self.start, len(self.pool) - 1)], np.arange(N_CODES, dtype=np.uint32)).astype(np.uint32)
-        self.plain = self.length == 1
 
     def __call__(self, cp: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gather: each code point is replaced by its sequence; `offs` moves by the expansion offsets."""
-        if self.plain[cp].all():
+        n = self.length[cp]
+        odd = np.flatnonzero(n != 1)
+        if not len(odd):
             return self.first[cp], offs
-        n = self.length[cp].astype(np.int64)
-        ends = np.concatenate([[0], np.cumsum(n)])
-        idx = np.repeat(self.start[cp].astype(np.int64) - ends[:-1], n) + np.arange(ends[-1])
-        return self.pool[idx], ends[offs]
+        k = n[odd].astype(np.int64)
+        moved = np.concatenate([[0], np.cumsum(k - 1)])
+        out = np.repeat(self.first[cp], n)
+        many = k > 1
+        to, start, size = (odd + moved[:-1])[many], self.start[cp[odd[many]]].astype(np.int64), k[many]
+        for i in range(int(size.max(initial=0))):
+            w = size > i
+            out[to[w] + i] = self.pool[start[w] + i]
+        return out, offs + moved[np.searchsorted(odd, offs)]
 
 
 def _compat(ch: str) -> str:
@@ -192,23 +198,39 @@ def marks() -> Marks:
 def compose(cp: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Canonical order and composition of every cluster that holds a combining character, over the whole batch at once."""
     t = marks()
-    joins = t.joins[cp]
-    if not joins.any():
+    far = np.flatnonzero(cp >= 0x300)
+    j = far[t.joins[cp[far]]]
+    if not len(j):
         return cp, offs
     # clusters: a starter and the joining characters after it, within one row; only these are touched
-    head = ~joins
-    head[offs[:-1][offs[:-1] < len(cp)]] = True
-    cluster = np.cumsum(head) - 1
-    touched = np.zeros(cluster[-1] + 1, dtype=bool)
-    touched[cluster[joins]] = True
-    sel = touched[cluster]
-    n = np.where(sel, t.split.length[cp], 1).astype(np.int64)
-    ends = np.concatenate([[0], np.cumsum(n)])
-    start = np.where(sel, t.split.start[cp], cp).astype(np.int64)
-    idx = np.repeat(start - ends[:-1], n) + np.arange(ends[-1])
-    out, offs, cluster, sel = t.split.pool[idx].astype(np.int64), ends[offs], np.repeat(cluster, n), np.repeat(sel, n)
-    at = np.flatnonzero(sel)  # positions to order and compose
-    c, g = out[at], cluster[at]
+    opens_row = offs[np.searchsorted(offs, j, side="right") - 1] == j
+    new = np.concatenate([[True], j[1:] != j[:-1] + 1]) | opens_row
+    lone = opens_row[new]
+    head = j[new] - ~lone
+    size = np.diff(np.concatenate([np.flatnonzero(new), [len(j)]])) + ~lone
+    at = np.repeat(head - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    n = t.split.length[cp[at]].astype(np.int64)
+    if (n != 1).any():  # what is composed already is taken apart first
+        all_ = np.ones(len(cp), np.int64)
+        all_[at] = n
+        ends = np.concatenate([[0], np.cumsum(all_)])
+        start = cp.astype(np.int64)
+        start[at] = t.split.start[cp[at]]
+        cp, offs = t.split.pool[np.repeat(start - ends[:-1], all_) + np.arange(ends[-1])], ends[offs]
+        size = np.add.reduceat(n, np.cumsum(size) - size)
+        at = np.repeat(ends[head] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    c, alive = _settled(cp[at].astype(np.int64), np.repeat(np.arange(len(size)), size))
+    out = cp.astype(np.uint32)
+    out[at] = c
+    gone = at[~alive]
+    keep = np.ones(len(out), bool)
+    keep[gone] = False
+    return out[keep], offs - np.searchsorted(gone, offs)
+
+
+def _settled(c: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of clusters `g` in canonical order and composed, and which of them are left."""
+    t = marks()
     ccc = t.ccc[c].astype(np.int64)
     run = np.cumsum((ccc == 0) | np.concatenate([[True], g[1:] != g[:-1]]))  # marks are ordered between two starters
     order = np.lexsort((np.arange(len(c)), ccc, run))
@@ -232,30 +254,30 @@ def compose(cp: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starter[no[zero]] = first[no[zero]] + k
         last[no[zero]] = -1
         last[no[~zero]] = cc[~zero]
-    out[at] = c
-    keep = np.ones(len(out), dtype=bool)
-    keep[at[~alive]] = False
-    return out[keep].astype(np.uint32), np.concatenate([[0], np.cumsum(keep)])[offs]
+    return c, alive
 
 
 def squeeze(cp: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs of blanks become one, outer blanks go."""
-    if not len(cp):
+    blank = np.flatnonzero(cp == SPACE)
+    if not len(blank):
+        return cp, offs
+    after = np.concatenate([[False], blank[1:] == blank[:-1] + 1])  # follows a blank
+    row = np.searchsorted(offs, blank, side="right")
+    opens = offs[row - 1] == blank
+    same = np.concatenate([[False], row[1:] == row[:-1]])
+    # a run that begins a row goes whole, of a run that ends one nothing stays either
+    run = np.cumsum(~(after & same))
+    n_runs = int(run[-1]) + 1
+    lead, tail = np.zeros(n_runs, bool), np.zeros(n_runs, bool)
+    lead[run[opens]] = True
+    tail[run[blank + 1 == offs[row]]] = True
+    gone = blank[(after & same) | lead[run] | tail[run]]
+    if not len(gone):
         return cp, offs
-    blank = cp == SPACE
-    before = np.empty_like(blank)
-    before[0], before[1:] = True, blank[:-1]
-    before[offs[:-1][offs[:-1] < len(cp)]] = True
-    keep = ~(blank & before)
-    pos = np.concatenate([[0], np.cumsum(keep)])
-    cp, offs = cp[keep], pos[offs]
-    last = offs[1:][offs[1:] > offs[:-1]] - 1
-    tail = last[cp[last] == SPACE]
-    if len(tail):
-        keep = np.ones(len(cp), dtype=bool)
-        keep[tail] = False
-        cp, offs = cp[keep], np.concatenate([[0], np.cumsum(keep)])[offs]
-    return cp, offs
+    keep = np.ones(len(cp), bool)
+    keep[gone] = False
+    return cp[keep], offs - np.searchsorted(gone, offs)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], most_bytes: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -282,18 +304,18 @@ def decode(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint32), np.zeros(1, np.int64)
     byte_offs = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset : arr.offset + len(arr) + 1]
     raw = np.frombuffer(arr.buffers()[2] or b"", np.uint8)[byte_offs[0] : byte_offs[-1]]
-    starts = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    at = byte_offs - byte_offs[0]
+    if len(raw) and raw.max() < 0x80:
+        return raw.astype(np.uint32), at
     cp = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    return cp, starts[byte_offs - byte_offs[0]]
+    return cp, at - np.searchsorted(np.flatnonzero((raw & 0xC0) == 0x80), at)
 
 
 def encode(cp: np.ndarray, offs: np.ndarray, nulls: np.ndarray | None = None) -> pa.Array:
     """The string column of code points and row offsets; `nulls` marks rows that are null."""
-    width = np.ones(len(cp), np.int64)
-    width += cp >= 0x80
-    width += cp >= 0x800
-    width += cp >= 0x10000
-    byte_offs = np.concatenate([[0], np.cumsum(width)])[offs]
+    far = np.flatnonzero(cp >= 0x80)
+    more = 1 + (cp[far] >= 0x800) + (cp[far] >= 0x10000).astype(np.int64)
+    byte_offs = offs + np.concatenate([[0], np.cumsum(more)])[np.searchsorted(far, offs)]
     data = np.ascontiguousarray(cp, dtype="<u4").tobytes().decode("utf-32-le").encode("utf-8")
     mask = None if nulls is None or not nulls.any() else pa.py_buffer(np.packbits(~nulls, bitorder="little").tobytes())
     big = byte_offs[-1] >= 2**31
@@ -346,5 +368,7 @@ def row_hash(cp: np.ndarray, offs: np.ndarray, seed: int = 0) -> np.ndarray:
         pw = _powers(0x9E3779B97F4A7C15 + 2 * seed, size)
         at = np.arange(offs[0], offs[-1]) - np.repeat(offs[:-1], n)
         x = _mix(cp[offs[0] : offs[-1]].astype(np.uint64) + np.uint64(0x632BE59BD9B4E019 + seed)) * pw[at]
-        s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
-        return _mix((s[offs[1:] - offs[0]] - s[offs[:-1] - offs[0]]) ^ (n.astype(np.uint64) << np.uint64(40)) ^ np.uint64(seed)).view(np.int64)
+        s = np.zeros(len(n), np.uint64)
+        some = n > 0
+        s[some] = np.add.reduceat(x, (offs[:-1] - offs[0])[some])
+        return _mix(s ^ (n.astype(np.uint64) << np.uint64(40)) ^ np.uint64(seed)).view(np.int64)

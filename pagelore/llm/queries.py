@@ -54,8 +54,13 @@ def page_blocks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "snapshot_blocks", "block_key", "capture_id", "site", "page_id", "block_kind", "block_zone", "source_url", "text").toDF("key", "capture", "site", "page", "kind", "zone", "url", "text")
 
 
+def page_html(spark: SparkSession, d: str) -> DataFrame:
+    """One html of each capture; captures delivered twice are the same."""
+    return table(spark, d, "captures", "capture_id", "site", "page_id", "current_html").toDF("capture", "site", "page", "html")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return mainbody.boilerplate(page_blocks(spark, d)).select(F.col("key").alias("block_key"))
+    return mainbody.boilerplate(page_blocks(spark, d), page_html(spark, d)).select(F.col("key").alias("block_key"))
 
 
 def p6_main(spark: SparkSession, d: str) -> DataFrame:

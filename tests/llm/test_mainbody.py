@@ -1,3 +1,6 @@
+import numpy as np
+import pytest
+
 from pagelore.llm import mainbody as M
 
 SCHEMA = "key long, capture long, site string, page long, kind string, zone string, url string, text string, content int, h long"
@@ -40,7 +43,7 @@ def test_body_of_pages(spark):
     df = spark.createDataFrame(rows + rows[:30], SCHEMA)
     got = [r.key for r in M.boilerplate(df).collect()]
     assert len(got) == len(set(got))
-    assert {rows[k][7] for k in set(got) ^ want} == set()
+    assert {rows[k][:8] for k in set(got) ^ want} == set()
     assert M.boilerplate(df.limit(0)).count() == 0
 
 
@@ -54,3 +57,52 @@ def test_main_text_of_html(spark):
     df = spark.createDataFrame(rows + rows[:3], "id long, page long, host string, url string, html string, text string")
     got = {r.id: r.main_text for r in M.main_text(df, "id", "page", "host", "url", "html").collect()}
     assert set(got) == set(range(8)) and got[2] == "Sorbane - Acme\nSorbane limits\nSorbane keeps every block for 2 days unless a hold is placed on it."
+
+
+def test_a_subtree_is_named_by_its_lines():
+    leaves = np.array([3, 4, 5, 3, 4], np.int64)
+    h = M.subtree(leaves, np.array([0, 3, 0, 2]), np.array([2, 5, 1, 3]))
+    assert h[0] == h[1] and h[2] == 3 and h[3] == 5
+
+
+def host(slug, n=8, names=("Tarvok", "Melquin", "Sorbane", "Pelvrit", "Dunweld", "Harkess", "Corvane", "Borlin")):
+    rows, pages = [], []
+    for i in range(n):
+        say = f"{names[i]} keeps every block for {i} days unless a hold is placed on it."
+        url = f"https://www.acme.example/{slug(names[i], i)}"
+        chrome = ["Docs | Pricing | Support", "We use cookies. Accept all", "All rights reserved by Acme."]
+        for j, t in enumerate([chrome[0], f"How {names[i]} works", say, *chrome[1:]]):
+            rows.append((f"{i}/{j}", f"c{i}", "www.acme.example", f"p{i}", "heading" if j == 1 else "text", None, url, t))
+        pages.append((f"c{i}", "www.acme.example", f"p{i}", f"<main><ul><li>{chrome[0]}</ul><h1>How {names[i]} works</h1><p>{say}<div><p>{chrome[1]}<p>{chrome[2]}</div></main>"))
+    return rows, pages
+
+
+@pytest.mark.parametrize("slug", [lambda n, i: n.lower(), lambda n, i: n[:3].lower(), lambda n, i: f"a/id7700{i}", lambda n, i: ""])
+def test_the_address_does_not_decide(spark, slug):
+    rows, pages = host(slug)
+    df = spark.createDataFrame(rows, "key string, capture string, site string, page string, kind string, zone string, url string, text string")
+    html = spark.createDataFrame(pages, "capture string, site string, page string, html string")
+    want = {f"{i}/{j}" for i in range(8) for j in (0, 3, 4)}
+    assert {r.key for r in M.boilerplate(df).collect()} == want
+    assert {r.key for r in M.boilerplate(df, html).collect()} == want
+
+
+def test_html_alone_shows_what_recurs(spark):
+    """Blocks of two pages, whose host's other pages are only there as html."""
+    rows, pages = host(lambda n, i: n.lower())
+    df = spark.createDataFrame(rows, "key string, capture string, site string, page string, kind string, zone string, url string, text string")
+    html = spark.createDataFrame(pages, "capture string, site string, page string, html string")
+    few = df.where("capture in ('c0', 'c1') or key like '%/2'")
+    assert {r.key for r in M.boilerplate(few).collect()} == set()
+    assert {r.key for r in M.boilerplate(few, html).collect()} == {f"{i}/{j}" for i in (0, 1) for j in (0, 3, 4)}
+
+
+def test_a_quotation_on_few_pages_of_a_large_host_is_no_template(spark):
+    rows = []
+    for i in range(2000):
+        text = f"Page {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}q says something of its very own here."
+        rows += [(f"{i}/0", f"c{i}", "www.acme.example", f"p{i}", "text", None, "", text), (f"{i}/1", f"c{i}", "www.acme.example", f"p{i}", "text", None, "", "All rights reserved.")]
+        if i < 3:
+            rows.append((f"{i}/2", f"c{i}", "www.acme.example", f"p{i}", "text", None, "", "To be or not to be, that is the question."))
+    df = spark.createDataFrame(rows, "key string, capture string, site string, page string, kind string, zone string, url string, text string")
+    assert {r.key for r in M.boilerplate(df).collect()} == {f"{i}/1" for i in range(2000)}
