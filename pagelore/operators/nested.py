@@ -143,34 +143,56 @@ def child_table(parent: DataFrame, keys: list[str], lists: Column, key: str, val
     return parent.select(*keys, F.posexplode(lists).alias("__pos", value)).select(*keys, (F.col("__pos") + 1).alias(key), value)
 
 
-def flat_tables(df: DataFrame, record: str, payload: str) -> dict[str, DataFrame]:
-    """A table for each array level that the merged schema of `payload` shows, named by its path.
-
-    Each holds `record`, the positions of its ancestors and its own (no_1, no_2, ...; from 1) and the element as a variant.
-    Texts that are no complete JSON give no rows; missing, null and empty lists give none; a lone value where other records
-    have a list counts as a list of one. Null payloads and empty tables give no rows. A record delivered twice counts once.
-    """
+def complete(df: DataFrame, record: str, payload: str) -> DataFrame:
+    """__r and v: every record's payload as a variant, once, decoded until it holds no more JSON in a string. Texts that are no
+    complete JSON, and nulls, have no row."""
     raw = df.select(F.col(record).alias("__r"), F.col(payload).alias("__p")).distinct()
     base = cut(raw.select("__r", decoded(parse_complete(F.col("__p"))).alias("v")).where("v is not null"))
-    schema = merged_schema(base, "v")
+    inner = (F.schema_of_variant("v") == "STRING") & parse_complete(F.try_variant_get("v", "$", "string")).isNotNull()
+    while not base.where(inner).isEmpty():
+        base = cut(base.withColumn("v", decoded(F.col("v"))))
+    return base
+
+
+def inferred(base: DataFrame, value: str) -> Node:
+    """The merged schema of those values that are objects."""
+    s = merged_schema(base.where(F.schema_of_variant(value).startswith("OBJECT")), value)
+    return parse_schema(s) if s else Node()
+
+
+def levels(base: DataFrame, keys: list[str], value: str, lists: frozenset[str] = frozenset()) -> dict[str, DataFrame]:
+    """A table for each array level that the merged schema of `base`'s variant column `value` shows, named by its path: `keys`, the
+    positions of its ancestors and its own (no_1, no_2, ...; from 1) and the element in `value`. Fields named in `lists` are
+    lists even where every record has a lone value. A level with levels below it is written once and read by these."""
     out: dict[str, DataFrame] = {}
-    if schema is None:
-        return out
+    n_keys = len(keys)
+
+    def nested_in(n: Node) -> bool:
+        return n.open or any(c.many or c.open or k in lists or nested_in(c) for k, c in n.fields.items())
 
-    def walk(n: Node, parent: DataFrame, keys: list[str], value: str, path: str, at: str) -> None:
+    def walk(n: Node, parent: DataFrame, keys: list[str], path: str, at: str) -> None:
         for k, c in n.fields.items():
             step = f".{k}" if k.isidentifier() else f"['{k}']"
-            if not (c.many or c.open):
-                walk(c, parent, keys, value, path + step, at + step)
+            if not (c.many or c.open or k in lists):
+                walk(c, parent, keys, path + step, at + step)
                 continue
-            no = f"no_{len(keys)}"
-            t = child_table(parent, keys, as_list(get(F.col(value), at + step)), no)
-            out[path + step] = t.withColumnRenamed("__r", record)
-            inner = c
-            if c.open:  # types disagree: the elements' own schema
-                s = merged_schema(t, "value")
-                inner = parse_schema(s) if s else Node()
-            walk(inner, t, [*keys, no], "value", path + step + "[*]", "$")
-
-    walk(parse_schema(schema), base, ["__r"], "v", "$", "$")
+            no = f"no_{len(keys) - n_keys + 1}"
+            t = child_table(parent, keys, as_list(get(F.col("value"), at + step)), no)
+            if nested_in(c):
+                t = cut(t)
+            out[path + step] = t
+            # where types disagree the elements have a schema of their own
+            walk(inferred(t, "value") if c.open else c, t, [*keys, no], path + step + "[*]", "$")
+
+    walk(inferred(base, value), base.withColumnRenamed(value, "value"), keys, "$", "$")
     return out
+
+
+def flat_tables(df: DataFrame, record: str, payload: str) -> dict[str, DataFrame]:
+    """A table for each array level that the merged schema of `payload` shows, named by its path.
+
+    Each holds `record`, the positions of its ancestors and its own (no_1, no_2, ...; from 1) and the element as a variant.
+    Texts that are no complete JSON give no rows; missing, null and empty lists give none; a lone value where other records
+    have a list counts as a list of one. Null payloads and empty tables give no rows. A record delivered twice counts once.
+    """
+    return {path: t.withColumnRenamed("__r", record) for path, t in levels(complete(df, record, payload), ["__r"], "v").items()}
