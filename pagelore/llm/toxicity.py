@@ -2,9 +2,9 @@
 
 A document is judged by its worst passage, so each model scores every window of WINDOW words (within a sentence) and the
 document takes the greatest score. The models are logistic, over hashed words and word pairs, and are fitted to reviewers'
-votes on whole documents: the window that a document is judged by is chosen anew in each round. The first link of the chain
-is whether a document is unacceptable at all, the next ones are the categories; each link also sees the log odds that the
-links before it give the same window, and is trained with out-of-fold odds.
+votes on whole documents: the window that a document is judged by is chosen anew in each round. The first links of the chain
+are the categories, the last is whether a document is unacceptable at all, by which it is flagged; each link also sees the
+log odds that the links before it give the same window, and is trained with out-of-fold odds.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pagelore.llm import codepoints as C
 
 CHAIN = ("unacceptable", "abusive", "hateful", "sexual")
+#: The order in which the links are fitted and asked: the categories, then, knowing these, whether the text is unacceptable.
+ORDER = (1, 2, 3, 0)
 #: The most labelled documents that the models are fitted to; of more, those with the least hash of their id.
 MAX_LABELLED = 20_000
 WINDOW = 14
@@ -30,8 +32,8 @@ BITS = 21
 FOLDS = 3
 #: Log odds by frequencies alone from which on a sentence of a text voted for is an example of its own.
 CLEAR = 3.0
-#: Rounds of the first link and of the later ones.
-ROUNDS, LATER_ROUNDS = 5, 3
+#: Rounds of the last link and of the ones before it.
+ROUNDS, CATEGORY_ROUNDS = 5, 3
 #: For each text voted against, windows drawn and best windows added in each round; the weight of each.
 DRAWN, HARD, NEGATIVE = 4, 2, 0.5
 #: A word or pair is passed over if so great a share of the texts voted against hold it, unless it is so many times as
@@ -316,18 +318,18 @@ def fit(g: Grams, w: Windows, y: np.ndarray, train: np.ndarray, before: list[np.
 
 @dataclass
 class Chain:
-    models: list[Model]
-    cuts: np.ndarray  # score at which a link says yes
+    models: list[Model]  # in ORDER
+    cuts: np.ndarray  # score at which a link says yes, in the order of CHAIN
     known: frozenset[str]
 
     def scores(self, g: Grams, w: Windows, n: int) -> np.ndarray:
         """Of each text and link the greatest log odds."""
-        before, out = [], []
-        for m in self.models:
+        before, out = [], np.zeros((n, len(CHAIN)))
+        for j, m in zip(ORDER, self.models):
             z = m.score(g, w, before)
             before.append(np.clip(z, -8, 8))
-            out.append(best(w.doc, z, n)[0])
-        return np.stack(out, 1) if n else np.zeros((0, len(self.models)))
+            out[:, j] = best(w.doc, z, n)[0]
+        return out
 
 
 def cut_of(z: np.ndarray, y: np.ndarray) -> float:
@@ -352,19 +354,19 @@ def fit_chain(texts: list[str], votes: np.ndarray) -> Chain:
     w = windows(g)
     n = len(texts)
     fold = np.random.default_rng(0).permutation(n) % FOLDS
-    models, cuts, before = [], [], []
-    for j in range(votes.shape[1]):
-        y, rounds = votes[:, j], LATER_ROUNDS if j else ROUNDS
+    models, cuts, before = [], np.zeros(len(CHAIN)), []
+    for j in ORDER:
+        y, rounds = votes[:, j], CATEGORY_ROUNDS if j else ROUNDS
         outer = np.zeros(len(w.doc))
         for k in range(FOLDS):
             m = fit(g, w, y, fold != k, before, rounds, seed=k)
             mine = fold[w.doc] == k
             outer[mine] = m.score(g, w, before)[mine]
         top, _ = best(w.doc, outer, n)
-        cuts.append(cut_of(top, y))
+        cuts[j] = cut_of(top, y)
         models.append(fit(g, w, y, np.ones(n, bool), before, rounds))
         before.append(np.clip(outer, -8, 8))
-    return Chain(models, np.array(cuts), known)
+    return Chain(models, cuts, known)
 
 
 def labelled(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str, reviewer: str, most: int = MAX_LABELLED) -> DataFrame:

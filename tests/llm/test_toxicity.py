@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 from pagelore.llm import toxicity as T
+from pagelore.session import table
 
 NAMES = ["tarvok", "melquin", "sorbane", "pelvrit", "dunweld", "harkess"]
 PLAIN = ["{n} keeps every block for {k} days unless a hold is placed on it.", "With the Team plan, {n} allows {k} parallel calls.", "The cursor is written first; {n} never turns that order around.", "What {n} calls a token is known elsewhere as a claim."]
@@ -45,6 +46,20 @@ def test_held_out_accuracy_in_spite_of_wrong_votes():
         assert (z[own, j]).mean() > 0.8 and (z[~truth, j]).mean() < 0.1
 
 
+def test_flags_come_from_the_whole_chain(spark):
+    """Without what the categories say, other documents are flagged."""
+    d = "/root/testdata/sf0.01"
+    docs = table(spark, d, "documents", "doc_id", "text")
+    ch = T.fitted(T.labelled(docs, "doc_id", "text", table(spark, d, "review_labels"), "doc_id", "label", "reviewer"))
+    texts = T.plain(pa.array([r.text for r in docs.collect()]))
+    g = T.Hasher(T.Words(ch.known))(texts)
+    w = T.windows(g)
+    whole = (ch.scores(g, w, len(texts)) > ch.cuts)[:, 0]
+    assert np.abs(ch.models[-1].prior).min() > 0
+    ch.models[-1].prior = np.zeros(3)
+    assert ((ch.scores(g, w, len(texts)) > ch.cuts)[:, 0] != whole).any()
+
+
 @pytest.mark.parametrize("text", ["w_r_e_t_c_h_e_d", "wr3tch3d", "wr*tched", "WRETCHED", "wrеtсhеd", "wretchhhed", "w r e t c h e d", "ｗｒｅｔｃｈｅｄ", "wre​tched", "wrétchéd"])
 def test_hidden_spellings(text):
     words = T.Words(frozenset(["wretched", "grumbot"]))
