@@ -82,11 +82,11 @@ def fill_windows(docs: DataFrame, key: str, size: Column | str, budgets: DataFra
     whole = F.floor(F.col("n") / F.col("capacity"))
     rest = F.col("n") % F.col("capacity")
     x = x.withColumns({"full": whole, "rest": rest})
-    own = x.where("full > 0").select("budget", "k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("full"))).alias("piece_no"), F.col("capacity").alias("tokens"), "capacity")
-    own = own.withColumn("window", F.concat(F.lit("own-"), F.coalesce(F.col("k").cast("string"), F.lit("")), F.lit("-"), F.col("piece_no")))
+    own = x.where("full > 0").select("budget", "k", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("full"))).alias("piece_no"), F.col("capacity").alias("tokens"), "capacity")
+    own = own.withColumn("window", F.concat_ws("-", F.when(F.col("k").isNull(), "own-null").otherwise("own"), F.coalesce(F.col("k").cast("string"), F.lit("")), "n", "piece_no")).drop("n")
     none = x.where("n <= 0").select("budget", "k", F.lit(1).cast("long").alias("piece_no"), F.lit(0).cast("long").alias("tokens"), "capacity", F.lit(None).cast("string").alias("window"))
     items = x.where("rest > 0 and n > 0").select(
-        "budget", "capacity", "k", (F.col("full") + 1).alias("piece_no"), F.col("rest").alias("size"), F.concat_ws("-", F.coalesce(F.col("k").cast("string"), F.lit("null")), "n").alias("item"),
+        "budget", "capacity", "k", (F.col("full") + 1).alias("piece_no"), F.col("rest").alias("size"), F.concat_ws("-", F.when(F.col("k").isNull(), "null").otherwise("key"), F.coalesce(F.col("k").cast("string"), F.lit("")), "n").alias("item"),
         F.pmod(F.xxhash64("k", "n"), F.lit(packers)).alias("packer"),
     )
     first = cut(_packed(items.select("budget", "capacity", "packer", "item", "size")).withColumn("w1", F.concat_ws("-", "packer", "window")))

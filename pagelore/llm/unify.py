@@ -13,8 +13,11 @@ from pagelore.session import cut
 
 
 def _unify(texts: pa.Array) -> pa.Array:
-    nulls = texts.is_null().to_numpy(zero_copy_only=False)
-    return C.encode(*C.reading(*C.decode(texts)), nulls)
+    out = []
+    for b in C.pieces(iter([pa.RecordBatch.from_arrays([texts], names=["t"])])):
+        t = b.column(0)
+        out.append(C.encode(*C.reading(*C.decode(t)), t.is_null().to_numpy(zero_copy_only=False)))
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
 
 def unify(text: Column | str) -> Column:

@@ -118,3 +118,12 @@ def test_token_counts(spark):
     for vocabulary in ("byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"):
         got = [r.n for r in spark.createDataFrame([(t,) for t in texts], "t string").select(token_count(F.col("t"), vocabulary).alias("n")).collect()]
         assert got[:2] == [0, 0] and 7 <= got[2] <= 14 and got[3] > 100 and got[4] > 2
+
+
+def test_a_null_key_is_not_the_text_null(spark):
+    d = spark.createDataFrame([(None, 3), ("null", 3), ("", 3), ("a", 9)], "k string, n long")
+    b = spark.createDataFrame([("small", 4)], "budget_name string, capacity_tokens int")
+    got = K.fill_windows(d, "k", "n", b, "budget_name", "capacity_tokens").collect()
+    assert {(r.k, r.piece_no, r.tokens) for r in got} == {(None, 1, 3), ("null", 1, 3), ("", 1, 3), ("a", 1, 4), ("a", 2, 4), ("a", 3, 1)}
+    assert len(got) == 6 and len({(r.k, r.piece_no) for r in got}) == 6
+    assert max(w.tokens for w in spark.createDataFrame([(r.window, r.tokens) for r in got], "window string, tokens long").groupBy("window").sum("tokens").withColumnRenamed("sum(tokens)", "tokens").collect()) <= 4
