@@ -20,6 +20,14 @@ POLARITY = [
     ("supported", "not supported"), ("enabled", "not enabled"), ("enabled", "disabled"), ("synchronous", "asynchronous"),
     ("blocking", "non blocking"), ("mutable", "immutable"), ("stateful", "stateless"), ("encrypted", "unencrypted"),
 ]
+#: Scope and release status by word, and the profiles of claim and support that exclude each other.
+SCOPES = {
+    "universal": "all every global worldwide entire universal", "exclusive": "only exclusive solely",
+    "limited": "selected some certain regional region varies subset specific",
+}
+SCOPE_CLASHES = [("universal", "limited"), ("universal", "exclusive"), ("exclusive", "limited")]
+STATUSES = {"preview": "preview beta alpha experimental prelaunch", "available": "launched generally ga", "deprecated": "deprecated legacy retired sunset unsupported"}
+STATUS_CLASHES = [("available", "preview"), ("preview", "available"), ("available", "deprecated"), ("preview", "deprecated")]
 KOREAN_GLOSSES = {
     "제공": ["provides"], "지원": ["supports"], "인터페이스": ["interface"], "네트워크": ["network"], "요청": ["request", "fetching"], "리소스": ["resources"],
     "가져오": ["fetching"], "사용": ["used"], "문서": ["documentation"], "검색": ["search"], "추출": ["extract"], "세션": ["session"], "언어": ["language"],

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagelore.functions import lexicon as L
 from pagelore.functions import text as T
+from pagelore.operators import guards as G
 from pagelore.session import cut
 
 NARRATIVE = ("text", "list", "table", "metadata")
@@ -294,7 +295,7 @@ def checked_refs(ranked: DataFrame, most: int = 3) -> DataFrame:
 
 def verdicts(claims: DataFrame, blocks: DataFrame) -> DataFrame:
     """page, claim, verdict, support (refs in order), support_score, band, reason: the decision ladder over the ranked passages,
-    with the anchor and polarity guards. Claims matched across languages have lower bars and are not held back as weak. Claims of pages without blocks have insufficient evidence."""
+    with the anchor, numeric, scope, status, qualifier and polarity guards. Claims matched across languages have lower bars and are not held back as weak. Claims of pages without blocks have insufficient evidence."""
     b = cut(prepare_blocks(blocks))
     c = cut(matching_claims(claims, b))
     base = c.select("page", "claim", "statement", "words", "anchors", "own_anchors", "crosses", "numbers")
@@ -302,7 +303,7 @@ def verdicts(claims: DataFrame, blocks: DataFrame) -> DataFrame:
     best = r.groupBy("page", "claim").agg(
         F.max(F.when(~F.col("contradictory"), F.col("score"))).alias("best"), F.max(F.when(F.col("contradictory") & (F.col("score") >= 0.05), F.col("score"))).alias("against"), F.max("contradictory").alias("any_against")
     )
-    top = top_support(r)
+    top = cut(top_support(r))
     sup = top.groupBy("page", "claim").agg(
         F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("place", "ref"))), lambda x: x["ref"])).alias("support"), F.count("*").alias("n_support"), F.max("exact").alias("exact"),
         F.max(F.when(F.size("numbers") > 0, F.col("numeric"))).alias("numeric"), F.array_distinct(F.flatten(F.collect_list("seg_tokens"))).alias("tokens"),
@@ -310,7 +311,9 @@ def verdicts(claims: DataFrame, blocks: DataFrame) -> DataFrame:
     )
     other = r.where(F.col("contradictory") & (F.col("score") >= 0.05)).withColumn("nth", F.row_number().over(W.partitionBy("page", "claim").orderBy("rank"))).where("nth <= 3")
     other = other.groupBy("page", "claim").agg(F.array_distinct(F.flatten(F.collect_list("seg_tokens"))).alias("other_tokens"))
-    x = base.join(best, ["page", "claim"], "left").join(sup, ["page", "claim"], "left").join(other, ["page", "claim"], "left")
+    x = base.join(best, ["page", "claim"], "left").join(sup, ["page", "claim"], "left").join(other, ["page", "claim"], "left").join(G.guarded(c, top, b).withColumnRenamed("numeric", "numeric_guard"), ["page", "claim"], "left")
+    guards = [F.coalesce(g, F.lit(G.OK)) for g in ("numeric_guard", "scope", "status", "qualifier")]
+    held = ~F.forall(F.array(*guards), lambda g: g == G.OK)
     need = lambda n: F.when(n == 0, 0.0).when(n <= 2, 1.0).when(n == 3, 2 / 3).otherwise(0.6)
     lacks = lambda tokens, anchors: T.let(F.size(anchors), lambda n: (n > 0) & (F.size(T.matched(F.col(anchors), F.coalesce(tokens, F.array().cast("array<string>")))) / F.greatest(n, F.lit(1)) + 0.001 < need(n)))
     # as in the reference, what speaks against a claim is held to the anchors of its own language
@@ -331,10 +334,13 @@ def verdicts(claims: DataFrame, blocks: DataFrame) -> DataFrame:
         .when((F.col("best").isNull() & (a > 0)) | (a >= b + 0.02), turned)
         .when(F.col("best").isNull(), none("no-supporting-block"))
         .when(F.col("support").isNull(), none("insufficient-support-score"))
+        .when(guards[0] == G.CONTRADICTS, as_("contradicted", "numeric-mismatch"))
+        .when(guards[1] == G.CONTRADICTS, as_("contradicted", "scope-mismatch"))
+        .when(guards[2] == G.CONTRADICTS, as_("contradicted", "status-mismatch"))
         .when(thin & (a > 0), turned)
-        .when((b >= bar) & ~thin & weak, more)
-        .when((b >= bar) & ~thin, as_("evidence-supported", None))
-        .when((b >= 0.30) & (thin | (F.size("numbers") > 0)), more)
+        .when((b >= bar) & ~thin & ~held & weak, more)
+        .when((b >= bar) & ~thin & ~held, as_("evidence-supported", None))
+        .when((b >= 0.30) & (thin | held | (F.size("numbers") > 0) | F.coalesce("explicit", F.lit(False))), more)
         .otherwise(as_("insufficient-evidence", "insufficient-support-score"))
     )
     x = x.withColumn("o", out)

@@ -8,7 +8,8 @@ from pagelore.functions import lexicon as L
 from pagelore.functions import sqltext as S
 from pagelore.functions import text as T
 from pagelore.operators import evidence as E
-from pagelore.session import table
+from pagelore.operators import guards as G
+from pagelore.session import cut, table
 
 
 def blocks(spark, d):
@@ -76,6 +77,13 @@ def e26_top_support(spark, d):
     return E.top_support(E.scored(claims(spark, d), blocks(spark, d))).select("claim", "place", "ref", "seg_no", F.round("score", 6).alias("score"))
 
 
+def e29_guards(spark, d):
+    """What the numeric, scope, status and qualifier guards say of each claim's support."""
+    b = cut(E.prepare_blocks(blocks(spark, d)))
+    c = cut(E.matching_claims(claims(spark, d), b))
+    return G.guarded(c, E.top_support(E.ranked(c, b)), b).drop("page", "explicit")
+
+
 def e32_verdicts(spark, d):
     return E.verdicts(claims(spark, d), blocks(spark, d)).withColumnRenamed("claim", "outcome_id").drop("page")
 
@@ -119,7 +127,7 @@ def e42_reuse(spark, d):
     return c.groupBy("page_id").agg(F.count("*").alias("claims"), F.count_if(reuse).alias("reusable"), F.count_if(F.coalesce("review_recommended", F.lit(False))).alias("review"))
 
 
-QUERIES = [e02_claim_analysis, e03_candidates, e06_idf, e07_search_text, e09_context, e10_primary_heading, e19_score, e20_contradictions, e21_ranked, e24_checked_refs, e26_top_support, e32_verdicts, e33_confidence_band, e35_conflicts, e36_buckets, e38_adjudicate, e39_outcomes_of_buckets, e42_reuse]
+QUERIES = [e02_claim_analysis, e03_candidates, e06_idf, e07_search_text, e09_context, e10_primary_heading, e19_score, e20_contradictions, e21_ranked, e24_checked_refs, e26_top_support, e29_guards, e32_verdicts, e33_confidence_band, e35_conflicts, e36_buckets, e38_adjudicate, e39_outcomes_of_buckets, e42_reuse]
 
 
 def queries():
