@@ -349,11 +349,17 @@ def verdicts(claims: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def conflicts(supported: DataFrame) -> DataFrame:
-    """Pairs of supported claims of one page (page, claim, statement) whose statements contradict each other."""
-    c = prepare_claims(supported).select("page", "claim", "normalized", "statement", "words").withColumn("polar", F.exists("words", lambda t: t.isin(sorted({w for p in L.POLARITY for w in (p[0] + " " + p[1]).split()} - {"not", "non"}))))
-    c = c.where("polar")
-    a, b = c.alias("a"), c.alias("b")
-    pairs = a.join(b, F.expr("a.page = b.page and a.claim < b.claim")).select("a.page", F.col("a.claim").alias("claim"), F.col("b.claim").alias("other"), "a.normalized", F.col("b.statement").alias("passage_search"))
+    """Pairs of supported claims of one page (page, claim, statement) whose statements contradict each other.
+
+    Only claims that share a polarity pair and a token that is no word of it are compared.
+    """
+    polar = sorted({w for p in L.POLARITY for w in (p[0] + " " + p[1]).split()} - {"not", "non"})
+    held = lambda p, n: F.arrays_overlap("words", T.words(*sorted({*p.split(), *n.split()} - {"not", "non"})))
+    pair = F.array_compact(F.array(*[F.when(held(p, n), i) for i, (p, n) in enumerate(L.POLARITY)]))
+    c = prepare_claims(supported).select("page", "claim", "normalized", "statement", "words", F.explode(pair).alias("pair"), "claim_tokens")
+    c = c.withColumn("token", F.explode(F.filter("claim_tokens", lambda t: ~t.isin(polar)))).drop("claim_tokens")
+    a, b = c.alias("a"), c.select("page", "pair", "token", F.col("claim").alias("other"), F.col("statement").alias("passage_search")).alias("b")
+    pairs = a.join(b, ["page", "pair", "token"]).where("claim < other").select("page", "claim", "other", "normalized", "passage_search").distinct()
     pairs = pairs.withColumns({"ord": F.lit(0), "seg_no": F.lit(0), "words": F.split("normalized", " ")})
     hit = contradictions(pairs.withColumn("claim", F.struct("claim", "other"))).where("contradictory")
     return hit.select("page", "claim.claim", "claim.other")

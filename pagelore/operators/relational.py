@@ -22,16 +22,17 @@ def as_of(left: DataFrame, right: DataFrame, on: list[str], left_at: str, right_
     return seen.where("__side = 1").select(*names, *[F.col(f"__last.{v}").alias(v) for v in values])
 
 
-def within(left: DataFrame, right: DataFrame, left_at: str, right_from: str, right_to: str, width: str, condition: Column | None = None) -> DataFrame:
-    """Left rows with the right rows whose interval [from, to] holds their time: an equi-join on buckets of `width` seconds.
+def within(left: DataFrame, right: DataFrame, left_at: str, right_from: str, right_to: str, width: str, on: list[str] | None = None, condition: Column | None = None) -> DataFrame:
+    """Left rows with the right rows of the same `on` whose interval [from, to] holds their time: an equi-join on these columns and on
+    buckets of `width` seconds.
 
     A right row is repeated for each bucket it touches, so choose a width near the usual length of an interval.
     """
     sec = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (int(width) * 1_000_000))
     l = left.withColumn("__b", sec(left_at))
     r = right.withColumn("__b", F.explode(F.sequence(sec(right_from), sec(right_to))))
-    on = (F.col(left_at) >= F.col(right_from)) & (F.col(left_at) <= F.col(right_to))
-    return l.join(r, "__b").where(on if condition is None else on & condition).drop("__b")
+    inside = (F.col(left_at) >= F.col(right_from)) & (F.col(left_at) <= F.col(right_to))
+    return l.join(r, [*(on or []), "__b"]).where(inside if condition is None else inside & condition).drop("__b")
 
 
 def salted(left: DataFrame, right: DataFrame, on: str, salts: int = 16, how: str = "inner") -> DataFrame:

@@ -47,10 +47,12 @@ def r_full_outer(spark, d):
 
 
 def r_theta_join(spark, d):
-    """Suppliers with a greater balance in the same nation: an equi-join with a further condition."""
-    s = table(spark, d, "supplier")
-    a, b = s.alias("a"), s.alias("b")
-    return a.join(b, F.expr("a.s_nationkey = b.s_nationkey and a.s_acctbal < b.s_acctbal")).groupBy("a.s_suppkey").agg(F.count("*").alias("richer"))
+    """How many suppliers of the same nation have a greater balance. The pairs of the join on less-than need not be made: balances
+    are counted once each, and running sums over a nation's distinct balances say how many lie above."""
+    s = table(spark, d, "supplier", "s_suppkey", "s_nationkey", "s_acctbal")
+    n = s.groupBy("s_nationkey", "s_acctbal").agg(F.count("*").alias("n"))
+    above = n.select("s_nationkey", "s_acctbal", F.sum("n").over(W.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal")).rowsBetween(W.unboundedPreceding, -1)).alias("richer"))
+    return s.join(above, ["s_nationkey", "s_acctbal"]).where("richer > 0").select("s_suppkey", "richer")
 
 
 def r_as_of(spark, d):
@@ -63,9 +65,9 @@ def r_as_of(spark, d):
 def r_interval_join(spark, d):
     """Errors within ten minutes after a click of the same user."""
     e = table(spark, d, "events")
-    err = e.where("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.col("user_id").alias("u"), F.col("ts").alias("at"))
+    err = e.where("event_type = 'error'").select(F.col("event_id").alias("error_id"), "user_id", F.col("ts").alias("at"))
     click = e.where("event_type = 'click'").select("event_id", "user_id", "ts", (F.col("ts") + F.expr("interval 10 minutes")).alias("until"))
-    return R.within(err, click, "at", "ts", "until", "600", F.col("u") == F.col("user_id")).select("error_id", "event_id")
+    return R.within(err, click, "at", "ts", "until", "600", ["user_id"]).select("error_id", "event_id")
 
 
 def r_skewed_join(spark, d):

@@ -47,9 +47,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, only where that is unset, a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir, or, only in a local session where that is unset, a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="pagelore-shared-")
         spark.sparkContext.setCheckpointDir(at)
     return at

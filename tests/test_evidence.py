@@ -57,3 +57,10 @@ def test_partitions_and_repeats_do_not_matter(spark):
     assert one == two and [x[3] for x in one] == list(range(1, len(one) + 1)) and all(0 < x[2] <= 1 for x in one)
     top = E.top_support(E.scored(c, b)).collect()
     assert len(top) == 3 and len({r.ord for r in top}) == 3
+
+
+def test_conflicts_of_claims(spark):
+    rows = [(1, 1, "The Tarvok export is available."), (1, 2, "The Tarvok export is not available."), (1, 3, "The cursor is enabled."), (2, 4, "The Tarvok export is unavailable."), (1, 5, None), (1, 6, "The Melquin cursor is not enabled.")]
+    df = spark.createDataFrame(rows + rows[:2], "page long, claim long, statement string")
+    got = {tuple(r) for r in E.conflicts(df.distinct()).collect()}
+    assert (1, 1, 2) in got and all(p == 1 and a < b for p, a, b in got) and not any(4 in r for r in got)
