@@ -160,21 +160,26 @@ def inferred(base: DataFrame, value: str) -> Node:
     return parse_schema(s) if s else Node()
 
 
-def levels(base: DataFrame, keys: list[str], value: str, lists: frozenset[str] = frozenset()) -> dict[str, DataFrame]:
+def levels(base: DataFrame, keys: list[str], value: str, lists: frozenset[str] = frozenset(), only: bool = False) -> dict[str, DataFrame]:
     """A table for each array level that the merged schema of `base`'s variant column `value` shows, named by its path: `keys`, the
     positions of its ancestors and its own (no_1, no_2, ...; from 1) and the element in `value`. Fields named in `lists` are
-    lists even where every record has a lone value. A level with levels below it is written once and read by these."""
+    lists even where every record has a lone value; with `only`, no other field's level is made. A level with levels below it is
+    written once and read by these."""
     out: dict[str, DataFrame] = {}
     n_keys = len(keys)
 
     def nested_in(n: Node) -> bool:
-        return n.open or any(c.many or c.open or k in lists or nested_in(c) for k, c in n.fields.items())
+        return (n.open and not only) or any(made(k, c) or nested_in(c) for k, c in n.fields.items())
+
+    def made(k: str, c: Node) -> bool:
+        return k in lists or (not only and (c.many or c.open))
 
     def walk(n: Node, parent: DataFrame, keys: list[str], path: str, at: str) -> None:
         for k, c in n.fields.items():
             step = f".{k}" if k.isidentifier() else f"['{k}']"
-            if not (c.many or c.open or k in lists):
-                walk(c, parent, keys, path + step, at + step)
+            if not made(k, c):
+                if not c.many:
+                    walk(c, parent, keys, path + step, at + step)
                 continue
             no = f"no_{len(keys) - n_keys + 1}"
             t = child_table(parent, keys, as_list(get(F.col("value"), at + step)), no)

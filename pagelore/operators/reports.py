@@ -75,9 +75,9 @@ def tables(df: DataFrame, record: str, payload: str) -> dict[str, DataFrame]:
     """
     rec = records(df, record, payload)
     none = rec.select("record", F.lit(0).alias("parent"), F.lit(0).alias("no"), F.col("snapshot").alias("value")).limit(0)
-    snap = N.levels(rec.select("record", "snapshot"), ["record"], "snapshot", LISTS)
+    snap = N.levels(rec.select("record", "snapshot"), ["record"], "snapshot", LISTS, only=True)
     block = snap["$.blocks"].select("record", F.lit(0).alias("parent"), F.col("no_1").alias("no"), "value") if "$.blocks" in snap else none
-    ev = N.levels(rec.select("record", claim_offsets(F.col("evidence")).alias("off"), "evidence"), ["record", "off"], "evidence", LISTS)
+    ev = N.levels(rec.select("record", claim_offsets(F.col("evidence")).alias("off"), "evidence"), ["record", "off"], "evidence", LISTS, only=True)
     claim = snippet = none
     for k in CLAIMS:
         at = f"$.{k}"
