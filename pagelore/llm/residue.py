@@ -33,8 +33,6 @@ FILLS = 3
 #: A line explains its placeholder if, where another word varies over pages, so great a share of them hold the same placeholder, and
 #: so many pages do.
 SAME, EXPLAINED = 0.8, 3
-#: Words of a template line, at most; longer ones are texts.
-TEMPLATE_WORDS = 40
 
 # --- fixed values: common wordings (case-folded), in English, German, French, Spanish and Korean ------------------
 SCRIPT = r"(?:javascript|java script|scripts?\b|자바스크립트|스크립트)"
@@ -154,8 +152,8 @@ FIELDS = "line_no int, host long, strong boolean, weak boolean, worded boolean,
 def line_looks(df: DataFrame, key: str, page: str, url: str, text: str) -> DataFrame:
     """Every line of the texts: h, the hash of its letters without label and placeholders; whether it has a placeholder (strong), what
     may be a variable's name or a blank (weak), a common wording, or is a sentence. Of lines with a placeholder: the template
-    (tmpl) and what fills it, and the template with each other word masked (wild). Of others that are short: the template with
-    each word taken for the slot (probes)."""
+    (tmpl) and what fills it, and the template with each other word masked (wild). Of all others, whatever their length and
+    wording: the template with each word taken for the slot (probes)."""
     src = df.select(F.col(key), F.col(page), F.col(url), F.col(text)).toDF("key", "page", "url", "text").where("text is not null")
     t = {f.name: f.dataType.simpleString() for f in src.schema.fields}
     names = ["key", "page", *(c.split()[0] for c in FIELDS.split(", "))]
@@ -185,23 +183,20 @@ def line_looks(df: DataFrame, key: str, page: str, url: str, text: str) -> DataF
                     weak[i], lines[i], fills[i] = True, line.strip(P._EDGE.replace("\\", "")), "\x03".join(found)
             h, weight = P.letters(bare)
             sentence = P.stops(open_) & (weight >= P.SENTENCE_LETTERS)
-            blanks = pc.count_substring(bare, " ").to_numpy(zero_copy_only=False)
-            # lines to align: those with a slot, and each other short line
+            # every line is aligned, of any length: an array holds as many hashes as its line has words
             slotted = strong | weak
-            at_line = np.flatnonzero(slotted | (~said & (blanks >= 1) & (blanks < TEMPLATE_WORDS)))
             masked = P.replaced(bare, list(lines), [_SLOTS.sub(f" {P.SLOT} ", v) for v in lines.values()])
-            flat, ends = P.words(masked.take(pa.array(at_line)), numbers=True)
+            flat, ends = P.words(masked, numbers=True)
             made = Templates(flat, ends)
-            slotted = slotted[at_line]
-            tmpl[at_line[slotted]] = made.hashes()[slotted]
+            tmpl[slotted] = made.hashes()[slotted]
             if fills:
                 fill[list(fills)] = P.word_hash(list(fills.values()))
-            of = at_line[made.line]
+            of = made.line
             # a word is only taken for a varying one among at least three others
             others = np.bincount(made.line, weights=flat != slot, minlength=len(made.size))[made.line]
             w = strong[of] & (flat != slot) & (others > 3)
             wilds = sublists(n, of[w], made.masked(wild)[w])
-            w = ~slotted[made.line] & (made.size[made.line] > 2)
+            w = ~slotted[of] & (made.size[of] > 2)
             probes = sublists(n, of[w], made.masked(slot)[w])
             keep = np.flatnonzero((P.filled(bare) | strong | weak)[x.which])
             at, which = pa.array(x.row[keep]), x.which[keep]

@@ -67,6 +67,19 @@ def test_slots_are_induced_by_alignment_whatever_the_address(spark, slug):
     assert got == {(f, i) for f in ("visible_text", "block_text") for i in range(4, len(fills))}
 
 
+@pytest.mark.parametrize(
+    "line",
+    ["Dear %s, thank you for your order " + " ".join(f"and part {chr(97 + i % 26)}x" for i in range(14)), "Dear %s, thank you for your order" + " of one more thing" * 1500, "Hello,%s,welcome", "Where an internal server error appears for %s nobody has to write to the people who keep it running."],
+    ids=["of 49 words", "of 6007 words", "without blanks", "with a wording"],
+)
+def test_lines_of_any_length_and_wording_fill_a_slot(spark, line):
+    fills = ["Anna", "Berta", "Clara", "Dora", "user_name"]
+    df = spark.createDataFrame([(i, i, f"https://www.acme.example/{i}", line % f, "", 0) for i, f in enumerate(fills)], SCHEMA)
+    assert {(r.field, r.row_key) for r in R.find_residue(df, df).collect()} == {("visible_text", 4), ("block_text", 4)}
+    few = df.where("key > 1")
+    assert R.find_residue(few, few).count() == 0
+
+
 def test_string_keys(spark):
     df = spark.createDataFrame([("k1", "p1", None, "Hello {{ a }}"), ("k2", "p2", None, "Hello {{ b }}"), ("k3", None, None, "Hello world")], "key string, page string, url string, text string")
     assert {r.row_key for r in R.find_residue(df, df.limit(0)).collect()} == {"k1", "k2"}
