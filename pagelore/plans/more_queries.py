@@ -16,11 +16,12 @@ from pagelore.plans import block_queries, evidence_queries
 from pagelore.session import table
 from pagelore.sources import html as H
 
-# --- fixed values: particles that end Korean words; the parameters of a 64-bit hash over bytes --------------------
+# --- fixed values: particles that end Korean words; the parameters of a 64-bit hash over bytes; what a browser takes for white space
 PARTICLES = "에서는 에게서 으로써 으로는 에서 에게 으로 까지 부터 에는 와는 과는 은 는 이 가 을 를 의 에 로 와 과 도".split()
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 PLACES = {"text": 5, "head": 3, "href": 4, "tag": 2, "kind": 1}
 PATHS = {"parent": 6, "full": 5, "under": 2}
+BLANKS = r"[\t-\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+"
 # --- end of fixed values ------------------------------------------------------------------------------------------
 
 
@@ -104,7 +105,7 @@ def l01_locate(spark, d):
     # rows delivered twice are the same, so they may go after the others
     b = table(spark, d, "snapshot_blocks", "block_key", "page_id", "capture_id", "ord", "block_kind", "text", "attributes", "dom_path_hint").where(F.col("block_kind").isin("link", "button", "input") & F.col("text").isNotNull())
     of = lambda key: F.coalesce(F.get_json_object("attributes", f"$.{key}"), F.lit(""))
-    cols = {"href": of("href"), "tag": F.lower(of("tagName")), "said": F.lower(T.squeeze(F.col("text"))), "hint": F.coalesce(F.lower("dom_path_hint"), F.lit(""))}
+    cols = {"href": of("href"), "tag": F.lower(of("tagName")), "said": F.lower(F.trim(F.regexp_replace("text", BLANKS, " "))), "hint": F.coalesce(F.lower("dom_path_hint"), F.lit(""))}
     ends = b.groupBy("page_id").agg(F.min("capture_id").alias("first"), F.max("capture_id").alias("last")).where("first < last")
     b = b.join(ends, "page_id").where("capture_id in (first, last)").withColumns(cols).drop("text", "attributes", "dom_path_hint").dropDuplicates(["block_key"])
     # the paths of a candidate are of tags alone

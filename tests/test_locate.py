@@ -25,3 +25,11 @@ def test_places_of_the_reference(spark, tmp_path):
     )
     # text, target, tag, path and kind: containment 3, another target or tag rules out, paths 6, 5 and 2
     assert got == {1: (11, 3 + 4 + 2 + 6 + 1), 4: (14, 3 + 2 + 2 + 1), 6: (16, 3 + 0 + 2 + 6 + 1), 7: (18, 5 + 2 + 6 + 1), 8: (19, 5 + 2 + 5 + 1)}
+
+
+def test_texts_are_compared_without_what_a_browser_takes_for_blanks(spark, tmp_path):
+    said = ["Open\ufeff", "\ufeffOpen the\u3000page", "Save\x85", "\u00a0\ufeff"]
+    old = [(i, 1, i, "button", t, "button", None, None) for i, t in enumerate(["Open", "Open the page", "Save", "None"])]
+    got = located(spark, tmp_path, *old, *((10 + i, 2, i, "button", t, "button", None, None) for i, t in enumerate(said)))
+    # an equal text, tag and kind; U+0085 is no blank there, so one text holds the other; nothing but blanks is no text
+    assert got == {0: (10, 8), 1: (11, 8), 2: (12, 6)}
